@@ -48,7 +48,7 @@ RULES: dict[str, tuple[Field, ...]] = {
         Field("ruc", "text", ("RUC", "Ruc", "ruc", "NumeroRUC", "NroRuc", "NumeroRuc", "ruc_empresa", "RucEmpresa")),
         Field("nombre_empresa", "text", ("NombreEmpresa", "Nombre_Empresa", "nombreEmpresa", "RazonSocial", "razonSocial")),
         Field("ejercicio", "number", ("Ejercicio", "ejercicio", "AnioEjercicio", "Anio")),
-        Field("trimestre", "text", ("Trimestre", "trimestre", "NumeroTrimestre")),
+        Field("trimestre", "text", ("Trimestre", "trimestre", "NumeroTrimestre", "Periodo")),
         Field("moneda", "text", ("Moneda", "moneda", "TipoMoneda"), "Soles"),
         Field("ciiu", "text", ("CIIU", "Ciiu", "ciiu", "CodigoCIIU")),
         Field("tipo_sector", "text", ("TipoSector", "tipoSector", "Sector")),
@@ -98,27 +98,34 @@ def file_schemas(files: DataFrame, idc: str, source: str, channel: str, order: s
     carry = [source, channel, order, received]
     arrays = _arrays(files, idc, content, carry)
     records = arrays.lateralJoin(spark.tvf.variant_explode_outer(F.col("registros").outer())).select(idc, *carry, "nombre_arreglo", F.col("value").alias("__r"))
-    fields = records.lateralJoin(spark.tvf.variant_explode_outer(F.col("__r").outer())).select(idc, *carry, "nombre_arreglo", "key", F.schema_of_variant("value").alias("t"))
+    fields = records.lateralJoin(spark.tvf.variant_explode_outer(F.col("__r").outer())).select(idc, *carry, "nombre_arreglo", "key", F.schema_of_variant("value").alias("t"), F.col("value").alias("v"))
     kind = (
         F.when(F.col("t").rlike("^(BIGINT|INT|DECIMAL|DOUBLE|FLOAT)"), "numero")
         .when(F.col("t") == "STRING", "texto")
         .when(F.col("t") == "BOOLEAN", "booleano")
         .when(F.col("t") != "VOID", "anidado")
     )
-    per_field = fields.groupBy(idc, *carry, "nombre_arreglo", "key").agg(F.array_join(F.array_sort(F.collect_set(kind)), "|").alias("tipo"))
+    shape = F.regexp_replace(F.regexp_replace(F.substring(F.try_variant_get("v", "$", "string"), 1, 200), "[0-9]+", "9"), r"\p{L}+", "a")
+    per_field = fields.groupBy(idc, *carry, "nombre_arreglo", "key").agg(F.array_join(F.array_sort(F.collect_set(kind)), "|").alias("tipo"), F.min(F.when(F.col("t") == "STRING", shape)).alias("forma"))
     struct = F.when(
         F.col("key").isNotNull(),
-        F.struct(F.col("key").alias("nombre"), F.coalesce(_canonical(F.col(source), F.col("key")), squeezed(F.col("key"))).alias("canonico"), F.nullif("tipo", F.lit("")).alias("tipo")),
+        F.struct(F.col("key").alias("nombre"), F.coalesce(_canonical(F.col(source), F.col("key")), F.concat(F.lit("?"), squeezed(F.col("key")))).alias("canonico"), F.nullif("tipo", F.lit("")).alias("tipo"), F.col("forma")),
     )
     per_file = per_field.groupBy(idc, *carry, "nombre_arreglo").agg(F.array_sort(F.collect_list(struct)).alias("campos"))
-    return per_file.withColumn("huella", F.sha2(F.to_json(F.struct("nombre_arreglo", "campos")), 256))
+    shown = F.transform("campos", lambda x: F.struct(x["nombre"], x["tipo"]))
+    return per_file.withColumn("huella", F.sha2(F.to_json(F.struct("nombre_arreglo", shown)), 256))
 
 
 def _alike(a: Column, r: Column) -> Column:
-    """Whether two fields are one datum: the same canonical name, or (unknown names) one name within the other."""
+    """Whether two fields are one datum: the same canonical name; for a name without a rule, evidence of name or values.
+
+    The evidence: both have one JSON type, and one name is within the other or the texts have one shape with digits.
+    """
     sa, sr = squeezed(a["nombre"]), squeezed(r["nombre"])
-    unknown = (a["canonico"] == sa) & (r["canonico"] == sr) & a["tipo"].eqNullSafe(r["tipo"]) & (F.least(F.length(sa), F.length(sr)) >= 4)
-    return (a["canonico"] == r["canonico"]) | (unknown & (F.contains(sa, sr) | F.contains(sr, sa)))
+    no_rule = a["canonico"].startswith("?") | r["canonico"].startswith("?")
+    shape = a["forma"].eqNullSafe(r["forma"]) & F.contains(F.coalesce(a["forma"], F.lit("")), F.lit("9"))
+    name = (F.least(F.length(sa), F.length(sr)) >= 4) & (F.contains(sa, sr) | F.contains(sr, sa))
+    return (a["canonico"] == r["canonico"]) | (no_rule & a["tipo"].eqNullSafe(r["tipo"]) & (name | shape))
 
 
 def schema_changes(schemas: DataFrame, idc: str, channel: str, order: str, received: str) -> DataFrame:
@@ -187,7 +194,8 @@ def consistent_table(files: DataFrame, which: str, idc: str, source: str, channe
     arrays = _arrays(files.where(F.lower(F.trim(F.col(source))) == which), idc, content, [channel, order])
     records = arrays.lateralJoin(spark.tvf.variant_explode(F.col("registros").outer())).select(idc, channel, order, F.col("pos").alias("posicion"), F.col("value").alias("__r"))
     as_map = F.try_variant_get("__r", "$", "map<string,string>")
-    known = F.create_map(*(F.lit(x) for f in rules for n in f.names for x in ("".join(c for c in n.lower() if c.isalnum()), f.name)))
+    pairs = {"".join(c for c in n.lower() if c.isalnum()): f.name for f in rules for n in f.names}
+    known = F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
     rule_of = lambda k: F.try_element_at(known, squeezed(k))
     m = F.col("__m")
     raw = records.withColumn("__m", F.coalesce(as_map, F.create_map().cast("map<string,string>")))

@@ -38,7 +38,7 @@ FIRST_YEAR, LAST_YEAR = 1900, 2100
 NAT = np.iinfo(np.int64).min
 SECOND, MICROS_DAY = 1_000_000, 86_400_000_000
 
-_TIME = r"(?:[ a](?P<h>9{1,2}):(?P<m>99)(?::(?P<s>99)(?:[.,](?P<f>9{1,9}))?)?(?P<ap> ?(?:a\.? ?a\.?|aa))?)?"
+_TIME = r"(?:[ a](?P<h>9{1,2}):(?P<m>99)(?::(?P<s>99)(?:[.,](?P<f>9{1,9}))?)?(?P<ap> ?a\.? ?a\.?(?!a))?)?"
 _ZONE = r"(?: ?(?P<z>a{1,5}(?:[+-]9{1,2}(?::?99)?)?|[+-]99:?99|[+-]9{1,2}))?"
 #: Families of shapes, tried in this order.
 LAYOUTS = [
