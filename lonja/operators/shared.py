@@ -56,3 +56,16 @@ def previous_rows(df: DataFrame, group: list[str], order: str, ties: list[str],
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     joined = inner.join(before, on, "left")
     return joined.withColumn(out, F.coalesce("__prev", "__before")["v"]).drop("__run", "__payload", "__prev", "__before", "__r", *(f"__g{i}" for i in range(len(group))))
+
+
+def join_hot(big: DataFrame, lookup: DataFrame, key: str, rows: int, how: str = "inner", salt: int = 16) -> DataFrame:
+    """``big`` joined to ``lookup`` (unique by ``key``) where one key may hold a third of ``big``.
+
+    ``rows`` is the counted size of ``lookup``: within BROADCAST_ROWS it is broadcast; beyond, both sides are salted, so
+    that a hot key is spread over ``salt`` tasks.
+    """
+    if rows <= BROADCAST_ROWS:
+        return big.join(F.broadcast(lookup), key, how)
+    salted = big.withColumn("__sal", F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int"))
+    copies = lookup.withColumn("__sal", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return salted.join(copies, [key, "__sal"], how).drop("__sal")
