@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lonja.operators.shared import kept, small
 
 #: Shortest and longest suffix that is indexed. Words that share a longer one share the longest indexed one too.
-MIN_SUFFIX, MAX_SUFFIX = 4, 14
+MIN_SUFFIX, MAX_SUFFIX = 3, 14
 #: Companies per suffix from which it is common and is refined with the beginning of its word.
 COMMON = 12
 #: Least ratio of core words for a link, and the lead that makes a link sure without further evidence.
@@ -100,7 +100,7 @@ def parse(name: str) -> tuple[str, str, str, str, list[str]]:
         if not any(p.search(re.sub(r"[^A-Z]+", " ", inside)) for _, p in _LINE):
             note = re.sub(r"[^A-Z]", "", inside)
             t = t.replace(f"({inside})", " ")
-    t = re.sub(r"[^A-Z]+", " ", t).strip()
+    t = re.sub(r"[^A-Z]+", " ", re.sub(r"(?<=[A-Z])-(?=[A-Z])", "", t)).strip()
     form = line = region = ""
     for k, p in _FORM:
         if hits := list(p.finditer(t)):
@@ -159,17 +159,19 @@ def candidates(names: DataFrame, companies: DataFrame) -> DataFrame:
     """Pairs (``nid``, ``cid``) that share a suffix of a core word.
 
     A suffix of more than COMMON companies is refined: it counts only together with the first two letters of its word.
-    Refined keys are never discarded, whatever their number. Names of one word are also paired by its first four
-    letters with the words of companies, since nicknames are glued from beginnings of words.
+    Refined keys are never discarded, whatever their number. Words with slips in their last letters share no suffix,
+    so beginnings of five letters count too; of four where the name is one word, as nicknames are glued from
+    beginnings of words.
     """
     left, right = _suffixes(names, ["nid"]), _suffixes(companies, ["cid"])
     common = right.groupBy("clave").agg(F.count_distinct("cid").alias("n")).where(F.col("n") > COMMON).select("clave", F.lit(True).alias("comun"))
     key = F.when(F.col("comun"), F.concat_ws("|", "inicio", "clave")).otherwise(F.col("clave"))
     refine = lambda d, i: d.join(common, "clave", "left").select(i, key.alias("clave")).distinct()
     by_suffix = refine(left, "nid").join(refine(right, "cid"), "clave").select("nid", "cid")
-    start = lambda d, i: d.select(i, F.explode("palabras").alias("w")).where("length(w) >= 4").select(i, F.expr("left(w, 4)").alias("clave")).distinct()
-    by_start = start(names.where(F.size("palabras") == 1), "nid").join(start(companies, "cid"), "clave").select("nid", "cid")
-    return by_suffix.unionAll(by_start).distinct()
+    start = lambda d, i, n: d.select(i, F.explode("palabras").alias("w")).where(f"length(w) >= {n}").select(i, F.expr(f"left(w, {n})").alias("clave")).distinct()
+    by_start = start(names, "nid", 5).join(start(companies, "cid", 5), "clave").select("nid", "cid")
+    nicknames = start(names.where(F.size("palabras") == 1), "nid", 4).join(start(companies, "cid", 4), "clave").select("nid", "cid")
+    return by_suffix.unionAll(by_start).unionAll(nicknames).distinct()
 
 
 def core_ratio(a: list[str], b: list[str]) -> float:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lonja.functions.keys import company_id, information_type, number_value, quarter, stripped, text_value, ticker
-from lonja.llm import best, mixing, names
+from lonja.llm import best, language, leakage, mixing, names
 from lonja.llm.sql import SQL  # noqa: F401
 from lonja.operators.shared import join_hot, kept
 from lonja.sources import table
@@ -59,6 +59,15 @@ def p7_records(spark: SparkSession, root: str) -> DataFrame:
     return b.select(*GROUP, "id_registro", "completitud")
 
 
+def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
+    d = table(spark, root, "documents")
+    return leakage.leaked(d, "doc_id", "text", table(spark, root, "items_evaluacion"), "item_id", "texto").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "palabras")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_leaks(spark, root).select("doc_id", "item_id")
+
+
 def _mixed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, root, "documents")
     return mixing.mixed(d, "doc_id", d["source"], d["text"], table(spark, root, "mezcla_objetivo"))
@@ -72,4 +81,16 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return _mixed(spark, root)[1]
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_records, p9_mix, p9_shares)}
+def p10_languages(spark: SparkSession, root: str) -> DataFrame:
+    d = table(spark, root, "documents")
+    model = language.fit(d, "doc_id", "text", d["lang"])
+    return language.detect(d, "doc_id", "text", d["lang"], model).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    every = p10_languages(spark, root)
+    wrong = (F.col("segmento") == -1) & ~F.coalesce(F.col("etiqueta") == F.col("lang"), F.lit(False))
+    return every.where(wrong | (F.col("mezclado") & (F.col("segmento") >= 0))).select("doc_id", "segmento", "lang")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_records, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_languages)}
