@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonja.operators.shared import kept, small
@@ -222,10 +222,10 @@ def link(names: DataFrame, companies: DataFrame) -> DataFrame:
         F.coalesce((F.col("sector") == F.col("c_sector")).cast("int"), F.lit(0)).alias("b"),
         same("forma").alias("c"),
     )
-    best = scored.groupBy("nid").agg(F.max("parecido").alias("mejor"))
-    near = scored.join(best, "nid").where(F.col("parecido") >= F.col("mejor") - LEAD).withColumn("indicio", evidence)
+    # a name's candidates are the few companies above the ratio, so its windows are small
+    of_name = Window.partitionBy("nid")
+    near = scored.withColumn("mejor", F.max("parecido").over(of_name)).where(F.col("parecido") >= F.col("mejor") - LEAD).withColumn("indicio", evidence)
     per = near.groupBy("nid", "nombre", "ruc").agg(F.max(F.struct("indicio", "parecido", "linea", "region", "c_linea", "c_region")).alias("x"))
-    top = per.groupBy("nid", "nombre").agg(F.max("x.indicio").alias("m"))
-    kept_ones = per.join(top.select("nid", "m"), "nid").where(F.col("x.indicio") == F.col("m"))
+    kept_ones = per.withColumn("m", F.max("x.indicio").over(of_name)).where(F.col("x.indicio") == F.col("m"))
     one = kept_ones.groupBy("nid", "nombre").agg(F.count_distinct("ruc").alias("n"), F.max_by("ruc", "x").alias("ruc"), F.max("x").alias("x"))
     return one.where("n = 1").select("nombre", "ruc", F.col("x.parecido").alias("parecido"), F.col("x.linea").alias("linea"), F.col("x.region").alias("region"), F.col("x.c_linea").alias("c_linea"), F.col("x.c_region").alias("c_region"))
