@@ -9,10 +9,10 @@ def d(n):
     return dt.date(2024, 1, 1) + dt.timedelta(days=n)
 
 
-def run(spark, refs, parents, salt=4):
+def run(spark, refs, parents):
     r = spark.createDataFrame([(i, *x) for i, x in enumerate(refs)], "i int, k string, day date, rango string, motivo string" if refs and len(refs[0]) == 4 else "i int, k string, day date")
     p = spark.createDataFrame(parents, "k string, a date, b date")
-    out = orphans(r, r["k"], r["day"], [F.col("i"), F.col("k").alias("clave_referida"), F.date_format("day", "yyyy-MM").alias("periodo")], p, p["k"], p["a"], p["b"], salt=salt)
+    out = orphans(r, r["k"], r["day"], [F.col("i"), F.col("k").alias("clave_referida"), F.date_format("day", "yyyy-MM").alias("periodo")], p, p["k"], p["a"], p["b"])
     return out
 
 
@@ -46,6 +46,15 @@ def test_against_brute_force_with_ranges_and_hot_key(spark, monkeypatch):
     assert got == want
 
 
+def test_many_failing_keys_take_the_salted_join(spark, monkeypatch):
+    from lonja.operators import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 2)
+    refs = [(f"K{i % 7}", d(0)) for i in range(70)]
+    got = run(spark, refs, [("K1", None, None)])
+    assert got.count() == 60
+
+
 def test_report(spark):
     out = run(spark, [("X", d(0)), ("X", d(1)), ("Y", d(40))], [])
     rep = {(r["periodo"], r["referencias"], r["claves"]) for r in orphan_report(out, F.lit("t"), F.col("periodo")).collect()}
@@ -55,5 +64,5 @@ def test_report(spark):
 def test_clashing_names(spark):
     refs = spark.createDataFrame([("a", "Z")], "fila string, k string")
     parents = spark.createDataFrame([("Q",)], "k string")
-    out = orphans(refs, refs["k"], None, [F.col("fila"), F.col("k").alias("sal")], parents, parents["k"]).collect()
+    out = orphans(refs, refs["k"], None, [F.col("fila"), F.col("k").alias("hay")], parents, parents["k"]).collect()
     assert [tuple(r) for r in out] == [("a", "Z", "inexistente")]
