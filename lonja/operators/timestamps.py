@@ -230,12 +230,17 @@ def normalise(df: DataFrame, text: Column, zone: Column, month_first: Column, zo
     and ``version_zonas`` (of the zone database).
 
     ``zone`` names the zone of a text that states none, and the zone ``local`` is given in; ``zones`` lists the names
-    that may occur (those of a reference table). ``month_first``: whether numeric dates put the month first (NULL: no).
+    that may occur (those of a reference table); a name the zone database does not know counts as no zone. ``month_first``: whether numeric dates put the month first (NULL: no).
     A date without time is midnight. NULL, blank, unreadable and impossible texts give NULLs, as do texts that state no
     zone where the row has none; texts of any length do no harm. A local time that occurs twice is the first of the
     two; a skipped one takes the offset from before the change.
     """
-    tables = {z: zone_table(z) for z in zones if z}
+    tables = {}
+    for z in zones:
+        try:
+            tables[z] = zone_table(z)
+        except (KeyError, ValueError, OSError):  # a name the database does not know
+            continue
     version = database_version()
     src = df.select(*keep, text.cast("string").alias("__t"), zone.cast("string").alias("__z"), F.coalesce(month_first, F.lit(False)).alias("__m"))
     names = [f.name for f in src.schema.fields[:-3]]

@@ -75,7 +75,7 @@ def _flat(df: DataFrame) -> DataFrame:
 def p3_times(spark: SparkSession, root: str) -> DataFrame:
     """All three text columns in one pass per table: tabla, id_fila, campo, texto, instante and local (microseconds)."""
     places = table(spark, root, "plazas")
-    zones = [r[0] for r in places.select("zona_horaria").where("zona_horaria is not null").distinct().limit(1000).collect()]
+    zones = [r[0] for r in places.select("zona_horaria").where("zona_horaria is not null").distinct().collect()]  # a few names
     raw = table(spark, root, "cotizaciones_bronce")
     # plazas has one row per venue: a reference table of a few rows
     place = F.broadcast(places.select(F.upper(F.trim("plaza")).alias("__p"), "zona_horaria", (F.upper("orden_fecha") == "MDY").alias("__mdy")).where("__p is not null").dropDuplicates(["__p"]))

@@ -25,7 +25,7 @@ CASES = [
 
 def test_cases(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "i int, t string, z string, m boolean, w string")
-    out = ts.normalise(df, F.col("t"), F.col("z"), F.col("m"), ZONES, [F.col("i"), F.col("w"), F.col("t").alias("local_texto")])
+    out = ts.normalise(df, F.col("t"), F.col("z"), F.col("m"), [*ZONES, "No/Zone", ""], [F.col("i"), F.col("w"), F.col("t").alias("local_texto")])
     bad = out.withColumn("g", ts.instant_text(F.col("instante"))).where("not (g <=> w)").collect()
     assert out.count() == len(CASES) and bad == []
 
