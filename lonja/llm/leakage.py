@@ -35,34 +35,50 @@ ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]{2,8});")
 WORD = re.compile(r"[^\W_]+")
 
 
+_MARKS = re.compile("[\u0300-\u036f\u00ad\u200b]+")
+_IN_NUMBER = re.compile(r"(?<=\d)[.,](?=\d)")
+_HYPHENED = re.compile(r"(?<=[a-z])-\s*\n\s*(?=[a-z])")
+
+
 def plain_words(text: str) -> list[str]:
     """Words without case, accents, punctuation, markup and layout; numbers are one word whatever separates their digits."""
-    t = unicodedata.normalize("NFKD", ENTITY.sub(" ", TAG.sub(" ", text)).casefold())
-    t = "".join(c for c in t if not unicodedata.combining(c) and c != "­" and c != "​")
-    return WORD.findall(re.sub(r"(?<=\d)[.,](?=\d)", "", re.sub(r"(?<=[a-z])-\s*\n\s*(?=[a-z])", "", t)))
+    t = text
+    if "<" in t:
+        t = TAG.sub(" ", t)
+    if "&" in t:
+        t = ENTITY.sub(" ", t)
+    t = t.casefold()
+    if not t.isascii():
+        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+    return WORD.findall(_IN_NUMBER.sub("", _HYPHENED.sub("", t)))
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _bits(features: list[str]) -> np.ndarray:
-    """For each of 64 bits, how many features have it set minus how many have not."""
-    h = np.array([zlib.crc32(f.encode()) | zlib.adler32(f[::-1].encode()) << 32 for f in features], dtype=np.uint64)
+def word_vectors(words: list[str]) -> np.ndarray:
+    """A row of 64 numbers per word: for each bit of the hashes of its features, how much set outweighs not set.
+
+    A word weighs as much as all its letter triples together, and every word weighs the same.
+    """
+    features, sizes = [], []
+    for w in words:
+        padded = f"^{w[:48]}$".encode()
+        own = [b"=" + padded, *(padded[i : i + 3] for i in range(len(padded) - 2))]
+        features += own
+        sizes.append(len(own))
+    h = np.array([zlib.crc32(f) | zlib.adler32(f[::-1]) << 32 for f in features], dtype=np.uint64)
     h ^= h >> np.uint64(31)
     h *= _MIX
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    on = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    return (2 * on.astype(np.int32) - 1).sum(axis=0)
-
-
-def word_vector(w: str) -> np.ndarray:
-    """A word weighs as much as all its letter triples together, and every word weighs the same."""
-    w = w[:48]
-    padded = f"^{w}$"
-    triples = [padded[i : i + 3] for i in range(len(padded) - 2)] or [padded]
-    return np.round(60 * (_bits([f"={w}"]) + _bits(triples) / len(triples))).astype(np.int32)
+    on = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
+    n = np.array(sizes)
+    starts = np.cumsum(n) - n
+    whole = on[starts]
+    triples = np.add.reduceat(on, starts, axis=0) - whole
+    return np.round(60 * (whole + triples / np.maximum(1, n - 1)[:, None])).astype(np.int16)
 
 
 class Vocabulary:
@@ -70,19 +86,14 @@ class Vocabulary:
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
-        self.vectors = np.zeros((1024, 64), dtype=np.int32)
+        self.vectors = np.zeros((0, 64), dtype=np.int16)
 
     def ids(self, words: list[str]) -> np.ndarray:
-        out = np.empty(len(words), dtype=np.int64)
-        for i, w in enumerate(words):
-            n = self.number.get(w)
-            if n is None:
-                n = self.number[w] = len(self.number)
-                if n == len(self.vectors):
-                    self.vectors = np.vstack([self.vectors, np.zeros_like(self.vectors)])
-                self.vectors[n] = word_vector(w)
-            out[i] = n
-        return out
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.vectors = np.vstack([self.vectors, word_vectors(new)])
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def fingerprints(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -93,39 +104,61 @@ def fingerprints(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     for a in range(0, len(ids) - WINDOW + 1, 65_536):  # long texts in pieces
         part = ids[a : a + 65_536 + WINDOW - 1]
         v = vectors[part]
-        s = v[: len(part) - WINDOW + 1].copy()
+        s = v[: len(part) - WINDOW + 1].astype(np.int32)
         for k in range(1, WINDOW):
             s += v[k : len(part) - WINDOW + 1 + k]
         out.append(np.packbits(s > 0, axis=1).view(">u8").ravel().astype(np.uint64))
     return np.concatenate(out)
 
 
+@dataclass
+class Pairs:
+    """The neighbouring word pairs of an item: distinct ones, where each stands, weights, and weights of all stretches."""
+
+    distinct: np.ndarray
+    place: np.ndarray
+    weights: np.ndarray
+    stretches: np.ndarray
+
+    @staticmethod
+    def of(pairs: np.ndarray, weights: np.ndarray) -> Pairs:
+        distinct, place = np.unique(pairs, return_inverse=True)
+        return Pairs(distinct, place, weights, _stretches(weights))
+
+
+def _stretches(values: np.ndarray) -> np.ndarray:
+    """Sums over every run of PASSAGE - 1 pairs."""
+    c = np.zeros(len(values) + 1)
+    np.cumsum(values, out=c[1:])
+    n = PASSAGE - 1
+    return c[n:] - c[:-n]
+
+
 @dataclass
 class Items:
     """Items with the multi-index of their windows: per block a table from its 16 bits to windows."""
 
     ids: list[int]
-    words: list[list[str]]
+    words: list[np.ndarray]  # numbers of their words, below known
+    pairs: list[Pairs]
     prints: np.ndarray
     of: np.ndarray  # item of a window
     at: np.ndarray  # its place
     tables: list[tuple[np.ndarray, np.ndarray]]
-    weights: dict[tuple[str, str], float]
+    vocabulary: Vocabulary
+    known: int
 
 
 def build(items: list[tuple[int, str]]) -> Items:
     v = Vocabulary()
-    ids, words, prints, of, at = [], [], [], [], []
+    ids, words = [], []
     for i, t in items:
         w = plain_words(t or "")
-        if len(w) < PASSAGE:
-            continue
-        p = fingerprints(v.ids(w), v.vectors)
-        prints.append(p)
-        of.append(np.full(len(p), len(ids)))
-        at.append(np.arange(len(p)))
-        ids.append(i)
-        words.append(w)
+        if len(w) >= PASSAGE:
+            ids.append(i)
+            words.append(v.ids(w))
+    known = len(v.number)
+    prints = [fingerprints(w, v.vectors) for w in words]
     empty = np.zeros(0, dtype=np.int64)
     allp = np.concatenate(prints) if prints else np.zeros(0, dtype=np.uint64)
     tables = []
@@ -133,13 +166,13 @@ def build(items: list[tuple[int, str]]) -> Items:
         key = ((allp >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
         order = np.argsort(key, kind="stable")
         tables.append((np.searchsorted(key[order], np.arange(65_537)), order))
+    pairs = [w[:-1] * known + w[1:] for w in words]
     # a word pair that many items share (they come from templates) says less
-    in_items: dict[tuple[str, str], int] = {}
-    for w in words:
-        for p in set(zip(w, w[1:])):
-            in_items[p] = in_items.get(p, 0) + 1
-    weights = {p: 1.0 / (1.0 + np.log(n)) for p, n in in_items.items()}
-    return Items(ids, words, allp, np.concatenate(of) if of else empty, np.concatenate(at) if at else empty, tables, weights)
+    distinct, n = np.unique(np.concatenate([np.unique(p) for p in pairs]), return_counts=True) if pairs else (empty, empty)
+    weights = [1.0 / (1.0 + np.log(n[np.searchsorted(distinct, p)])) for p in pairs]
+    of = np.concatenate([np.full(len(p), k) for k, p in enumerate(prints)]) if prints else empty
+    at = np.concatenate([np.arange(len(p)) for p in prints]) if prints else empty
+    return Items(ids, words, [Pairs.of(p, w) for p, w in zip(pairs, weights)], allp, of, at, tables, v, known)
 
 
 def near_windows(prints: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -162,22 +195,17 @@ def near_windows(prints: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarr
     return both[:, 0], both[:, 1]
 
 
-def share(item: list[str], region: list[str], weights: dict[tuple[str, str], float]) -> float:
+def share(item: Pairs, region: np.ndarray, known: int) -> float:
     """The best weighted share of word pairs that a stretch of PASSAGE item words has in common with the region."""
-    have = set(zip(region, region[1:]))
-    pairs = list(zip(item, item[1:]))
-    w = np.array([weights[p] for p in pairs])
-    hit = np.array([p in have for p in pairs]) * w
-    n = min(PASSAGE - 1, len(pairs))
-    cw, ch = np.r_[0, np.cumsum(w)], np.r_[0, np.cumsum(hit)]
-    return float(((ch[n:] - ch[:-n]) / (cw[n:] - cw[:-n])).max())
-
-
-def aligned(item: list[str], region: list[str]) -> list[tuple[int, int]]:
-    """Places of equal words in the longest common subsequence of the two (words that differ by a slip count as equal)."""
-    number: dict[str, int] = {}
-    a = np.array([number.setdefault(w, len(number)) for w in item])
-    b = np.array([number.setdefault(w, len(number)) for w in region])
+    codes = np.where((region[:-1] < known) & (region[1:] < known), region[:-1] * known + region[1:], -1)
+    at = np.minimum(np.searchsorted(item.distinct, codes), len(item.distinct) - 1)
+    there = np.zeros(len(item.distinct), dtype=bool)
+    there[at[item.distinct[at] == codes]] = True
+    return float((_stretches(there[item.place] * item.weights) / item.stretches).max())
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Places of equal words (by number) in the longest common subsequence of the two."""
     eq = a[:, None] == b[None, :]
     n, m = eq.shape
     best = np.zeros((n + 1, m + 1), dtype=np.int32)
@@ -197,7 +225,7 @@ def aligned(item: list[str], region: list[str]) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
-def longest_passage(item: list[str], region: list[str], changed: float = CHANGED) -> int:
+def longest_passage(item: np.ndarray, region: np.ndarray, changed: float = CHANGED) -> int:
     """Most consecutive item words that the region holds in order with at most one in ``changed`` changed, added or missing."""
     pairs = aligned(item, region)
     if len(pairs) < PASSAGE // 2:
@@ -211,31 +239,39 @@ def longest_passage(item: list[str], region: list[str], changed: float = CHANGED
     return int(length[ok].max())
 
 
-def leaks_of(text: str, items: Items, vocabulary: Vocabulary, least: int = PASSAGE) -> list[tuple[int, int]]:
-    """(item, words held) of the items that a text holds a passage of."""
-    words = plain_words(text)
-    prints = fingerprints(vocabulary.ids(words), vocabulary.vectors)
-    if not len(prints):
+def leaks(texts: list[str], items: Items, least: int = PASSAGE) -> list[tuple[int, int, int]]:
+    """(text, item, words held) of the items that the texts hold a passage of."""
+    v = items.vocabulary
+    cut = [plain_words(t) for t in texts]
+    ids = v.ids([w for ws in cut for w in ws])
+    n = np.array([len(ws) for ws in cut])
+    starts = np.cumsum(n) - n
+    if not len(ids) or not items.ids:
         return []
+    prints = fingerprints(ids, v.vectors)
     place, window = near_windows(prints, items)
+    text = np.searchsorted(starts, place, side="right") - 1
+    inside = place + WINDOW <= starts[text] + n[text]  # not a window across two texts
+    place, window, text = place[inside], window[inside], text[inside]
     if not len(place):
         return []
-    out = []
     item, diagonal = items.of[window], place - items.at[window]
-    for k in np.unique(item):
+    order = np.lexsort((diagonal, item, text))
+    text, item, diagonal = text[order], item[order], diagonal[order]
+    sizes = np.array([len(w) for w in items.words])
+    # hits on near diagonals belong to one copy of the passage
+    new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > sizes[item[1:]])]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(text)] - 1
+    longest: dict[tuple[int, int], int] = {}
+    for f, e in zip(first, last):
+        d, k = int(text[f]), int(item[f])
         own = items.words[k]
-        starts = np.unique(diagonal[item == k])
-        # hits on near diagonals belong to one copy of the passage
-        groups = np.split(starts, np.flatnonzero(np.diff(starts) > len(own)) + 1)
-        longest = 0
-        for g in groups:
-            lo, hi = max(0, int(g[0]) - 12), int(g[-1]) + len(own) + 12
-            region = words[lo:hi]
-            if share(own, region, items.weights) >= LEAST_SHARE:
-                longest = max(longest, longest_passage(own, region))
-        if longest >= least:
-            out.append((items.ids[k], longest))
-    return out
+        lo, hi = max(starts[d], diagonal[f] - 12), min(starts[d] + n[d], diagonal[e] + len(own) + 12)
+        region = ids[lo:hi]
+        if share(items.pairs[k], region, items.known) >= LEAST_SHARE:
+            longest[d, k] = max(longest.get((d, k), 0), longest_passage(own, region))
+    return [(d, items.ids[k], m) for (d, k), m in longest.items() if m >= least]
 
 
 def leaked(docs: DataFrame, idc: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -258,11 +294,17 @@ def leaked(docs: DataFrame, idc: str, text: str, items: DataFrame, item_id: str,
         sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most ITEMS_PER_PASS held-out items
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            known, vocabulary = build(sent.value), Vocabulary()
+            known = build(sent.value)
             for pdf in batches:
-                if len(vocabulary.number) > 200_000:
-                    vocabulary = Vocabulary()
-                found = [(d, i, n) for d, t in zip(pdf["doc"], pdf["t"]) for i, n in leaks_of(t, known, vocabulary)]
+                texts, ids, found = pdf["t"].tolist(), pdf["doc"], []
+                size = a = 0
+                for z, t in enumerate(texts, 1):  # about a million characters at a time, and whole texts
+                    size += len(t)
+                    if size > 1_000_000 or z == len(texts):
+                        found += [(ids.iat[a + d], i, n) for d, i, n in leaks(texts[a:z], known)]
+                        size, a = 0, z
+                        if len(known.vocabulary.number) > 300_000:
+                            known = build(sent.value)
                 yield pd.DataFrame(found, columns=["doc", "item", "palabras"])
 
         one = src.mapInPandas(run, f"doc {kind}, item long, palabras long")
