@@ -70,7 +70,7 @@ def test_alignment_against_brute_force():
         for i in range(len(a)):
             for j in range(len(b)):
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
-        pairs = lk.aligned(a, b)
+        pairs = lk.aligned(np.array([ord(c) for c in a]), np.array([ord(c) for c in b]))
         assert len(pairs) == t[-1][-1] and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
 
 
