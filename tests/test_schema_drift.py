@@ -64,3 +64,38 @@ def test_numbers_as_text(spark):
     cases = {"1,234.5": 1234.5, "1.234,5": 1234.5, "3,75": 3.75, "12": 12.0, "-0.5": -0.5, "S/ 1,000": 1000.0, "n.d.": None, "": None, "1.204.331": 1204331.0}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, v double")
     assert df.where(~sd.number_of_text(F.col("t")).eqNullSafe(F.col("v"))).collect() == []
+
+
+def test_changes_of_the_test_files_against_brute_force(spark, root):
+    from collections import defaultdict
+
+    from lonja.queries import p2_found
+    from lonja.sources import table
+
+    kind = lambda v: None if v is None else "b" if isinstance(v, bool) else "n" if isinstance(v, (int, float)) else "t"
+    plain = lambda n: "".join(c for c in n.lower() if c.isalnum())
+    datum = {(s, plain(n)): f.name for s, fs in sd.RULES.items() for f in fs for n in f.names}
+    by = defaultdict(list)
+    for r in table(spark, root, "archivos_crudos").collect():
+        by[r["canal"]].append(r)
+    want = set()
+    for rows in by.values():
+        before = None
+        for r in sorted(rows, key=lambda r: r["secuencia"]):
+            body = json.loads(r["contenido"])
+            array = next(k for k, v in body.items() if isinstance(v, list))
+            types = defaultdict(set)
+            for record in body[array]:
+                for k, v in record.items():
+                    types[k].add(kind(v))
+            types = {k: v - {None} for k, v in types.items()}
+            if before:
+                old_array, old = before
+                name = lambda k: datum.get((r["fuente"], plain(k)), k)  # noqa: B023, E731
+                new, gone = set(types) - set(old), set(old) - set(types)
+                want |= {(r["id_archivo"], array, "renombrado")} if array != old_array else set()
+                want |= {(r["id_archivo"], k, "renombrado" if name(k) in {name(g) for g in gone} else "agregado") for k in new}
+                want |= {(r["id_archivo"], k, "eliminado") for k in gone if name(k) not in {name(n) for n in new}}
+                want |= {(r["id_archivo"], k, "tipo") for k in set(types) & set(old) if types[k] and old[k] and types[k] != old[k]}
+            before = array, types
+    assert {tuple(r) for r in p2_found(spark, root).collect()} == want
