@@ -25,7 +25,7 @@ LEAST_RATIO, LEAD = 0.86, 0.035
 
 #: Lines of business and the ways they are written or shortened. Fixed values.
 LINES = {
-    "COMPANIA DE SEGUROS": r"(?:CIA|COMP|COMPANIA|CIAS)(?: DE)? (?:SEGUROS?|SEGS?)|ASEGURADORA",
+    "COMPANIA DE SEGUROS": r"(?:CIA|COMP|COMPANIA|CIAS)(?: DE)? (?:SEGUROS?|SEGS?)|ASEGURADORA|SEGUROS?",
     "COMPANIA MINERA": r"(?:CIA|COMP|COMPANIA)(?: DE)? (?:MINERA|MIN|MINAS?)|MINERA",
     "EMPRESA ELECTRICA": r"(?:EMPRESA|EMP|E)(?: DE)? (?:ELECTRICA|ELECTR?|ELEC)|ELECTRICA",
     "SOCIEDAD TITULIZADORA": r"(?:SOCIEDAD|SOC) (?:TITULIZADORA|TITULIZ|TITUL|TIT)|TITULIZADORA",
