@@ -46,8 +46,8 @@ def _sized(docs: DataFrame, idc: str, source: Column, text: Column, targets: Dat
     plain = lambda c: F.lower(F.trim(c))
     wanted = targets.where("fuente is not null and peso > 0").groupBy(plain(F.col("fuente")).alias("fuente")).agg(F.max("peso").alias("peso"), F.max(F.coalesce("max_repeticiones", F.lit(1))).alias("veces"))
     # a target table has a row per source, written by hand
-    chosen = docs.select(F.col(idc).alias("doc_id"), plain(source).alias("fuente"), text.alias("t")).join(F.broadcast(wanted.select("fuente")), "fuente")
-    return kept(spread(chosen).select("doc_id", "fuente", F.xxhash64(F.lit(seed), "doc_id").alias("azar"), token_count(F.col("t"), path).alias("tokens")).where("tokens > 0")), wanted
+    chosen = spread(docs.select(F.col(idc).alias("doc_id"), plain(source).alias("fuente"), text.alias("t")).where("fuente is not null and t is not null")).join(F.broadcast(wanted.select("fuente")), "fuente")
+    return kept(chosen.select("doc_id", "fuente", F.xxhash64(F.lit(seed), "doc_id").alias("azar"), token_count(F.col("t"), path).alias("tokens")).where("tokens > 0")), wanted
 
 
 def mixed(docs: DataFrame, idc: str, source: Column, text: Column, targets: DataFrame, total_tokens: int | None = None, path: str = TOKENIZER, seed: int = 20) -> tuple[DataFrame, DataFrame]:
