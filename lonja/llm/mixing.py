@@ -45,8 +45,7 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
 def _sized(docs: DataFrame, idc: str, source: Column, text: Column, targets: DataFrame, path: str, seed: int) -> DataFrame:
     plain = lambda c: F.lower(F.trim(c))
     wanted = targets.where("fuente is not null and peso > 0").groupBy(plain(F.col("fuente")).alias("fuente")).agg(F.max("peso").alias("peso"), F.max(F.coalesce("max_repeticiones", F.lit(1))).alias("veces"))
-    # a target table has a row per source, written by hand
-    chosen = spread(docs.select(F.col(idc).alias("doc_id"), plain(source).alias("fuente"), text.alias("t")).where("fuente is not null and t is not null")).join(F.broadcast(wanted.select("fuente")), "fuente")
+    chosen = spread(docs.select(F.col(idc).alias("doc_id"), plain(source).alias("fuente"), text.alias("t")).where("fuente is not null and t is not null")).join(small(wanted.select("fuente")), "fuente")
     return kept(chosen.select("doc_id", "fuente", F.xxhash64(F.lit(seed), "doc_id").alias("azar"), token_count(F.col("t"), path).alias("tokens")).where("tokens > 0")), wanted
 
 
@@ -78,7 +77,7 @@ def mixed(docs: DataFrame, idc: str, source: Column, text: Column, targets: Data
     before = Window.partitionBy("fuente").orderBy("cubo").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sums.select("fuente", "cubo", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("previos"))
     own = Window.partitionBy("fuente", "cubo").orderBy("azar", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    queued = cut.withColumn("acumulado", F.sum("tokens").over(own)).join(small(shifts, sums.count()), ["fuente", "cubo"]).join(F.broadcast(per), "fuente")
+    queued = cut.withColumn("acumulado", F.sum("tokens").over(own)).join(small(shifts), ["fuente", "cubo"]).join(small(per), "fuente")
     turns = queued.withColumn("vuelta", F.explode(F.sequence(F.lit(0), F.col("veces") - 1)))
     finish = (F.col("previos") + F.col("acumulado") + F.col("vuelta").cast("long") * F.col("tokens_fuente")) / F.col("peso")
     mix = turns.select("doc_id", "vuelta", "fuente", "tokens", finish.alias("fin_virtual")).where(F.col("fin_virtual") <= F.lit(until) * (1 + 1e-12))

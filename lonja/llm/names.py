@@ -209,11 +209,11 @@ def link(names: DataFrame, companies: DataFrame) -> DataFrame:
     n = kept(parsed(clean, "nombre").withColumn("nid", F.xxhash64("nombre")))
     c = kept(parsed(companies.where(F.trim("nombre") != ""), "nombre").dropDuplicates(["ruc", "linea", "region", "palabras"]).withColumn("cid", F.xxhash64("ruc", "linea", "region", F.array_join("palabras", " "))))
     pairs = candidates(n.select("nid", "palabras"), c.select("cid", "palabras"))
-    # a line's usual sector, from the names that state both: at most one row per line
+    # a line's usual sector, from the names that state both: at most one row per entry of LINES
     usual = n.where("linea <> '' and sector is not null").groupBy("linea").agg(F.mode("sector").alias("sector"))
     c = c.join(F.broadcast(usual), "linea", "left")
     other = c.select("cid", "ruc", *(F.col(x).alias(f"c_{x}") for x in ("linea", "region", "forma", "palabras", "sector")), "raices")
-    full = pairs.join(n, "nid").join(small(other, c.count()), "cid")
+    full = pairs.join(n, "nid").join(small(other), "cid")
     differ = lambda x: (F.col(x) != "") & (F.col(x) != F.col(f"c_{x}"))
     scored = _ratios(full.where(~(differ("linea") | differ("region")))).where(F.col("parecido") >= LEAST_RATIO)
     same = lambda x: (F.col(x).eqNullSafe(F.col(f"c_{x}"))).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lonja.functions.keys import company_id, information_type, number_value, quarter, stripped, text_value, ticker
 from lonja.llm import best, language, leakage, mixing, names
 from lonja.llm.sql import SQL  # noqa: F401
-from lonja.operators.shared import join_hot, kept
+from lonja.operators.shared import join_hot, kept, small
 from lonja.sources import table
 
 
@@ -26,10 +26,9 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     links = kept(p6_links(spark, root).select("nombre", "ruc"))
     official = table(spark, root, "puente_ruc_nemonico").select(company_id(F.col("ruc")).alias("ruc"), F.col("razon_social").alias("nombre")).distinct()
     variants = kept(links.join(official, ["nombre", "ruc"], "left_anti"))
-    n = variants.count()
     events = table(spark, root, "eventos").select(F.lit("eventos").alias("tabla"), F.col("numero_expediente").alias("clave"), F.col("empresa").alias("nombre"))
     filings = table(spark, root, "principales_cuentas").where(company_id(F.col("ruc")).isNull()).select(F.lit("principales_cuentas").alias("tabla"), F.col("id_registro").alias("clave"), F.col("nombre_empresa").alias("nombre"))
-    return join_hot(events.unionByName(filings), variants, "nombre", n).where("clave is not null").select("tabla", "clave", "ruc").distinct()
+    return join_hot(events.unionByName(filings), variants, "nombre").where("clave is not null").select("tabla", "clave", "ruc").distinct()
 
 
 FIELDS = ["activo_total", "patrimonio_total", "total_ingreso", "utilidad_neta", "pasivo_total", "ciiu"]
@@ -38,8 +37,7 @@ FIELDS = ["activo_total", "patrimonio_total", "total_ingreso", "utilidad_neta",
 def _filings(spark: SparkSession, root: str) -> DataFrame:
     f = table(spark, root, "principales_cuentas")
     trust = table(spark, root, "fuentes_confianza").where("fuente_datos is not null").groupBy(F.upper(F.trim("fuente_datos")).alias("__f")).agg(F.min("prioridad").alias("prioridad"))
-    # fuentes_confianza has a row per source system
-    joined = f.join(F.broadcast(trust), F.upper(F.trim(f["fuente_datos"])) == F.col("__f"), "left")
+    joined = f.join(small(trust), F.upper(F.trim(f["fuente_datos"])) == F.col("__f"), "left")
     return joined.select(
         "id_registro", company_id(f["ruc"]).alias("ruc"), "ejercicio", quarter(f["trimestre"]).alias("trimestre"), information_type(f["tipo_informacion"]).alias("tipo_informacion"),
         *(number_value(f[c]).alias(c) for c in FIELDS[:-1]), text_value(f["ciiu"]).alias("ciiu"), "prioridad", "fecha_registro",
