@@ -146,13 +146,13 @@ def compare_copies(
     one, two = (side.select(F.col(key).cast("long").alias("k"), *(value(c).alias(c) for c in fields)) for side in (left, right))
     found, buckets = differing_keys(one, two, "k", [hashed(c) for c in fields], [hashed(c) for c in fields], rows_per_bucket)
     found = kept(found)
-    n, whole = found.agg(F.count("k"), F.count_if(~F.col("pelado"))).first()
-    keys = small(found.where("pelado").select("k"), n)
-    bad = F.broadcast(found.where("not pelado").select(F.col("cubeta").alias("__c"))) if whole else None
+    keys = small(found.where("k is not null").select("k"))
+    bad = found.where("not pelado").select(F.col("cubeta").alias("__c"))
+    bad = None if bad.isEmpty() else small(bad)
 
     def fetch(side: DataFrame) -> DataFrame:
         rows = side.join(keys, "k", "left_semi")
-        if bad is not None:  # one number per bucket, far fewer than rows
+        if bad is not None:
             in_bad = side.where("k is not null").join(bad, F.pmod(F.xxhash64(F.lit(7), F.col("k")), F.lit(buckets)).cast("int") == F.col("__c"), "left_semi")
             rows = rows.unionAll(in_bad)
         return rows.groupBy("k").agg(*(f(c).alias(f"{n}_{c}") for c in fields for n, f in (("min", F.min), ("max", F.max), ("todos", lambda c: F.count(c) == F.count(F.lit(1))))))

@@ -100,7 +100,7 @@ def orphans(refs: DataFrame, refs_key: Column, refs_day: Column | None, keep: li
     keys = child.groupBy(F.col("__k").alias("k")).agg(F.min("__dia").alias("primero"), F.max("__dia").alias("ultimo"))
     failing = kept(probed(keys, known, bits).where("not hay or primero < desde or ultimo > hasta").select(F.col("k").alias("__k"), "hay", "desde", "hasta"))
     why = F.when(~F.col("hay"), "inexistente").when(F.col("__dia") < F.col("desde"), "anterior").when(F.col("__dia") > F.col("hasta"), "posterior")
-    return join_hot(child, failing, "__k", failing.count()).select("__fila.*", why.alias("motivo")).where("motivo is not null")
+    return join_hot(child, failing, "__k").select("__fila.*", why.alias("motivo")).where("motivo is not null")
 
 
 def orphan_report(missing: DataFrame, table: Column, period: Column) -> DataFrame:

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast up to this many rows of its counted result.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast if its measured content, as JSON text, is no larger than this.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,9 +41,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores * 2)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within ``limit``; else the planner chooses."""
-    return F.broadcast(df) if rows <= limit else df
+def fits(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether the content of ``df``, measured by one aggregate, is small enough to be broadcast.
+
+    The measure is the text of all values, so it holds for long texts too. ``df`` should be stored or cheap.
+    """
+    text = F.octet_length(F.to_json(F.struct(*df.columns)))
+    return (df.agg(F.sum(text.cast("long"))).first()[0] or 0) <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it fits; else the planner chooses a join that shuffles."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def previous_rows(df: DataFrame, group: list[str], order: str, ties: list[str], payload: Column, out: str, bucket_of: Column) -> DataFrame:
@@ -67,14 +76,13 @@ def previous_rows(df: DataFrame, group: list[str], order: str, ties: list[str],
     return joined.withColumn(out, F.coalesce("__prev", "__before")["v"]).drop("__run", "__payload", "__prev", "__before", "__r", *(f"__g{i}" for i in range(len(group))))
 
 
-def join_hot(big: DataFrame, lookup: DataFrame, key: str, rows: int, how: str = "inner", salt: int = 16) -> DataFrame:
+def join_hot(big: DataFrame, lookup: DataFrame, key: str, how: str = "inner", salt: int = 16) -> DataFrame:
     """``big`` joined to ``lookup`` (unique by ``key``) where one key may hold a third of ``big``.
 
-    ``rows`` is the counted size of ``lookup``: within BROADCAST_ROWS it is broadcast; beyond, both sides are salted, so
-    that a hot key is spread over ``salt`` tasks.
+    A lookup that fits is broadcast; beyond that both sides are salted, so that a hot key is spread over ``salt`` tasks.
     """
-    if rows <= BROADCAST_ROWS:
+    if fits(lookup):
         return big.join(F.broadcast(lookup), key, how)
-    salted = big.withColumn("__sal", F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int"))
+    salted = big.withColumn("__sal", F.pmod(F.xxhash64(*big.columns), F.lit(salt)).cast("int"))
     copies = lookup.withColumn("__sal", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return salted.join(copies, [key, "__sal"], how).drop("__sal")

@@ -9,6 +9,7 @@ from lonja.functions.keys import company_id, ticker
 from lonja.operators import compare_copies as cc
 from lonja.operators import references as rf
 from lonja.operators import rolling, schema_drift, timestamps
+from lonja.operators.shared import small
 from lonja.sources import table
 from lonja.sql import SQL  # noqa: F401
 
@@ -77,8 +78,7 @@ def p3_times(spark: SparkSession, root: str) -> DataFrame:
     places = table(spark, root, "plazas")
     zones = [r[0] for r in places.select("zona_horaria").where("zona_horaria is not null").distinct().collect()]  # a few names
     raw = table(spark, root, "cotizaciones_bronce")
-    # plazas has one row per venue: a reference table of a few rows
-    place = F.broadcast(places.select(F.upper(F.trim("plaza")).alias("__p"), "zona_horaria", (F.upper("orden_fecha") == "MDY").alias("__mdy")).where("__p is not null").dropDuplicates(["__p"]))
+    place = small(places.select(F.upper(F.trim("plaza")).alias("__p"), "zona_horaria", (F.upper("orden_fecha") == "MDY").alias("__mdy")).where("__p is not null").dropDuplicates(["__p"]))
     joined = raw.select("id_fila", "plaza", "fecharegistro", "fechacotizacion").join(place, F.upper(F.trim("plaza")) == F.col("__p"), "left")
     two = joined.select("id_fila", "zona_horaria", "__mdy", F.explode(F.create_map(F.lit("fecharegistro"), F.col("fecharegistro"), F.lit("fechacotizacion"), F.col("fechacotizacion"))).alias("campo", "texto"))
     quotes = timestamps.normalise(two, F.col("texto"), F.col("zona_horaria"), F.col("__mdy"), zones, [F.lit("cotizaciones_bronce").alias("tabla"), F.col("id_fila"), F.col("campo"), F.col("texto")])

@@ -49,7 +49,7 @@ def test_against_brute_force_with_ranges_and_hot_key(spark, monkeypatch):
 def test_many_failing_keys_take_the_salted_join(spark, monkeypatch):
     from lonja.operators import shared
 
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 2)
     refs = [(f"K{i % 7}", d(0)) for i in range(70)]
     got = run(spark, refs, [("K1", None, None)])
     assert got.count() == 60
