@@ -266,7 +266,9 @@ def normalise(df: DataFrame, text: Column, zone: Column, month_first: Column, zo
 
 def instant_text(micros: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss.SSSSSS`` of microseconds since 1970, whatever the session's zone."""
-    return F.date_format(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(micros / F.lit(1_000_000).cast("decimal(20,0)")).cast("decimal(18,6)")), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    rest = F.pmod(micros, F.lit(MICROS_DAY))
+    part = lambda unit, size, digits: F.lpad(F.pmod(F.floor(rest / F.lit(unit)), F.lit(size)).cast("string"), digits, "0")
+    return F.concat(day_of(micros).cast("string"), F.lit(" "), part(3600 * SECOND, 24, 2), F.lit(":"), part(60 * SECOND, 60, 2), F.lit(":"), part(SECOND, 60, 2), F.lit("."), part(1, SECOND, 6))
 
 
 def day_of(micros: Column) -> Column:

@@ -40,7 +40,7 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
         | rolling.differs(F.col("s.monto_prom_30d"), zero(F.col("t.monto_prom_30d")), 0.005, 0.02)
         | rolling.differs(F.col("s.cierre_prom_7d"), F.col("t.cierre_prom_7d"), 0.005)
     )
-    return joined.where(wrong & F.col("s.valor").isNotNull() & F.col("s.fecha").isNotNull()).select(F.col("s.valor").alias("valor"), F.date_format("s.fecha", "yyyy-MM-dd").alias("fecha")).distinct()
+    return joined.where(wrong & F.col("s.valor").isNotNull() & F.col("s.fecha").isNotNull()).select(F.col("s.valor").alias("valor"), F.col("s.fecha").cast("date").cast("string").alias("fecha")).distinct()
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
@@ -89,7 +89,7 @@ def p3_times(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     t = p3_times(spark, root)
-    text = F.when(F.col("campo") == "fecharegistro", timestamps.instant_text(F.col("instante"))).otherwise(F.date_format(timestamps.day_of(F.col("local")), "yyyy-MM-dd"))
+    text = F.when(F.col("campo") == "fecharegistro", timestamps.instant_text(F.col("instante"))).otherwise(timestamps.day_of(F.col("local")).cast("string"))
     return t.select("tabla", "id_fila", "campo", text.alias("instante")).where("instante is not null and id_fila is not null")
 
 

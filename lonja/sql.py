@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lonja.operators.schema_drift import RULES
+
 _TICKER = "upper(trim({}))"
 _RUC = r"regexp_replace(regexp_replace({}, '[.,]0*\s*$', ''), '[^0-9]', '', 'g')"
 
@@ -69,4 +71,33 @@ union select id_fila, 'valor' from j where av is distinct from bv
 union select id_fila, 'cierre_actual' from j where (ac is null) <> (bc is null) or abs(ac - bc) > 0.005
 union select id_fila, 'monto_negociado' from j where (am is null) <> (bm is null) or abs(am - bm) > 0.005"""
 
-SQL = {"p1_found": P1_FOUND, "p1_rolling": P1_ROLLING, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p5_found": P5_FOUND}
+
+
+def _plain(name: str) -> str:
+    return "".join(c for c in name.lower() if c.isalnum())
+
+
+_SPELLINGS = sorted({(s, _plain(n), f.name) for s, fields in RULES.items() for f in fields for n in f.names})
+_VALUES = ", ".join(f"('{s}', '{n}', '{d}')" for s, n, d in _SPELLINGS)
+
+P2_FOUND = f"""with rules(fuente, plano, dato) as (values {_VALUES}),
+arr as (select id_archivo, fuente, canal, secuencia, e.key arreglo, e.value registros from archivos_crudos, json_each(contenido) e where e.type = 'ARRAY'),
+rec as (select id_archivo, fuente, r.value registro from arr, json_each(registros) r),
+fields as (
+  select id_archivo, fuente, f.key campo, lower(regexp_replace(f.key, '[^A-Za-z0-9]', '', 'g')) plano,
+    max(case when f.type = 'BOOLEAN' then 'booleano' when f.type = 'VARCHAR' then 'texto' when f.type <> 'NULL' then 'numero' end) tipo
+  from rec, json_each(registro) f group by all),
+named as (select f.*, coalesce(r.dato, '?' || plano) dato from fields f left join rules r using (fuente, plano)),
+files as (select id_archivo, canal, secuencia, arreglo, lag(id_archivo) over w previo, lag(arreglo) over w arreglo_previo from arr window w as (partition by canal order by secuencia)),
+pairs as (
+  select f.id_archivo, f.previo, n.campo, n.dato, n.tipo, o.campo viejo, o.tipo tipo_viejo
+  from files f join named n on n.id_archivo = f.id_archivo left join named o on o.id_archivo = f.previo and o.campo = n.campo where f.previo is not null),
+gone as (
+  select f.id_archivo, o.campo, o.dato from files f join named o on o.id_archivo = f.previo
+  left join named n on n.id_archivo = f.id_archivo and n.campo = o.campo where n.campo is null)
+select id_archivo, campo, 'tipo' cambio from pairs where tipo <> tipo_viejo
+union select id_archivo, campo, case when (id_archivo, dato) in (select (id_archivo, dato) from gone) then 'renombrado' else 'agregado' end from pairs where viejo is null
+union select id_archivo, campo, 'eliminado' from gone where (id_archivo, dato) not in (select (id_archivo, dato) from pairs where viejo is null)
+union select id_archivo, arreglo, 'renombrado' from files where arreglo <> arreglo_previo"""
+
+SQL = {"p2_found": P2_FOUND, "p1_found": P1_FOUND, "p1_rolling": P1_ROLLING, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p5_found": P5_FOUND}
