@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lonja.operators.schema_drift import RULES
+from lonja.operators.timestamps import ABBREVIATIONS, MONTHS, PIVOT
 
 _TICKER = "upper(trim({}))"
 _RUC = r"regexp_replace(regexp_replace({}, '[.,]0*\s*$', ''), '[^0-9]', '', 'g')"
@@ -100,4 +101,41 @@ union select id_archivo, campo, case when (id_archivo, dato) in (select (id_arch
 union select id_archivo, campo, 'eliminado' from gone where (id_archivo, dato) not in (select (id_archivo, dato) from pairs where viejo is null)
 union select id_archivo, arreglo, 'renombrado' from files where arreglo <> arreglo_previo"""
 
-SQL = {"p2_found": P2_FOUND, "p1_found": P1_FOUND, "p1_rolling": P1_ROLLING, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p5_found": P5_FOUND}
+_MONTH = "case lower({0}[:3]) " + " ".join(f"when '{m}' then {n}" for m, n in MONTHS.items()) + " end"
+_ABBR = "case upper({0}) " + " ".join(f"when '{a}' then {n}" for a, n in ABBREVIATIONS.items()) + " end"
+_T = r"(?:[ T](\d\d?):(\d\d)(?::(\d\d)(?:\.(\d+))?)?( ?[aApP]\.? ?[mM]\.?)?)?(?: ?([A-Z]{1,5}(?:[+-]\d\d?)?|[+-]\d\d:?\d\d))?$"
+P3_FOUND = f"""with raw as (
+  select 'cotizaciones_bronce' tabla, id_fila, 'fecharegistro' campo, trim(fecharegistro) x, zona_horaria z, orden_fecha = 'MDY' mdy from cotizaciones_bronce left join plazas using (plaza)
+  union all select 'cotizaciones_bronce', id_fila, 'fechacotizacion', trim(fechacotizacion), zona_horaria, orden_fecha = 'MDY' from cotizaciones_bronce left join plazas using (plaza)
+  union all select 'embig', num_linea, '_c0', trim(_c0), 'UTC', false from embig),
+cut as (
+  select *, regexp_extract(x, '^(\\d{{4}})-(\\d\\d)-(\\d\\d){_T}', ['y', 'm', 'd', 'h', 'i', 's', 'f', 'ap', 'o']) iso,
+    regexp_extract(x, '^(\\d\\d?)[/-](\\d\\d?)[/-](\\d{{4}}|\\d\\d){_T}', ['p', 'q', 'y', 'h', 'i', 's', 'f', 'ap', 'o']) num,
+    regexp_extract(x, '^(?:[A-Z][a-z]{{2}}, )?(\\d\\d?)[ -]?([A-Za-z]{{3}})\\.?[ -]?(\\d{{4}}|\\d\\d){_T}', ['d', 'n', 'y', 'h', 'i', 's', 'f', 'ap', 'o']) dmy,
+    regexp_extract(x, '^([A-Z][a-z]{{2}}) (\\d\\d?), (\\d{{4}})$', ['n', 'd', 'y']) eng,
+    regexp_extract(x, '^(\\d{{4}})(\\d\\d)(\\d\\d)(?:(\\d\\d)(\\d\\d)(\\d\\d))?$', ['y', 'm', 'd', 'h', 'i', 's']) com,
+    regexp_extract(x, '^(?:/Date\\()?(\\d{{10}}|\\d{{13}})(?:\\)/)?$', 1) ep
+  from raw where x is not null),
+parts as (
+  select tabla, id_fila, campo, z, ep,
+    coalesce(nullif(iso.y, ''), nullif(num.y, ''), nullif(dmy.y, ''), nullif(eng.y, ''), nullif(com.y, '')) y,
+    case when iso.y <> '' then try_cast(iso.m as int) when num.y <> '' then try_cast(case when mdy then num.p else num.q end as int) when dmy.y <> '' then {_MONTH.format('dmy.n')} when eng.y <> '' then {_MONTH.format('eng.n')} else try_cast(com.m as int) end m,
+    case when iso.y <> '' then try_cast(iso.d as int) when num.y <> '' then try_cast(case when mdy then num.q else num.p end as int) when dmy.y <> '' then try_cast(dmy.d as int) when eng.y <> '' then try_cast(eng.d as int) else try_cast(com.d as int) end d,
+    coalesce(try_cast(coalesce(nullif(iso.h, ''), nullif(num.h, ''), nullif(dmy.h, ''), nullif(com.h, '')) as int), 0) h, coalesce(try_cast(coalesce(nullif(iso.i, ''), nullif(num.i, ''), nullif(dmy.i, ''), nullif(com.i, '')) as int), 0) i,
+    coalesce(try_cast(coalesce(nullif(iso.s, ''), nullif(num.s, ''), nullif(dmy.s, ''), nullif(com.s, '')) as int), 0) s, rpad(coalesce(nullif(iso.f, ''), nullif(num.f, ''), '0'), 6, '0') f,
+    nullif(regexp_replace(lower(coalesce(nullif(iso.ap, ''), nullif(num.ap, ''), dmy.ap, '')), '[^apm]', '', 'g'), '') ap, coalesce(nullif(iso.o, ''), nullif(num.o, ''), nullif(dmy.o, '')) o
+  from cut),
+timed as (
+  select *, case when ep <> '' then make_timestamp(cast(ep as bigint) * case length(ep) when 10 then 1000000 else 1000 end)
+    when (ap is null or h between 1 and 12) and h < 24 and i < 60 and s < 60 then
+      try_cast(lpad(cast(case when length(y) = 2 then cast(y as int) + case when cast(y as int) >= {PIVOT} then 1900 else 2000 end else cast(y as int) end as varchar), 4, '0') || '-' || lpad(cast(m as varchar), 2, '0') || '-' || lpad(cast(d as varchar), 2, '0') as date)
+      + to_hours(case ap when 'am' then h % 12 when 'pm' then h % 12 + 12 else h end) + to_minutes(i) + to_seconds(s) + to_microseconds(cast(f as bigint)) end t,
+    case when ep <> '' then 0 when o is not null then coalesce({_ABBR.format('o')}, (case when contains(o, '-') then -1 else 1 end) * (60 * try_cast(regexp_extract(o, '[+-](\\d\\d?)', 1) as int) + coalesce(try_cast(regexp_extract(o, '[+-]\\d\\d:?(\\d\\d)', 1) as int), 0))) end away
+  from parts),
+utc as (
+  select *, case when away is not null then t - to_minutes(away) else timezone('UTC', case when timezone(z, timezone(z, t) - interval 1 hour) = t then timezone(z, t) - interval 1 hour else timezone(z, t) end) end u
+  from timed where t is not null and year(t) between 1900 and 2099)
+select tabla, id_fila, campo, case when campo = 'fecharegistro' then strftime(u, '%Y-%m-%d %H:%M:%S.%f') else strftime(case when away is not null then timezone(z, timezone('UTC', u)) else t end, '%Y-%m-%d') end instante
+from utc where u is not null"""
+
+SQL = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p1_found": P1_FOUND, "p1_rolling": P1_ROLLING, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p5_found": P5_FOUND}
