@@ -1,7 +1,7 @@
 """Variant spellings of company names, linked to a list of companies.
 
 Names are taken apart into line of business, region, legal form and core words; candidates are found by shared
-suffixes of core words, and pairs are compared by longest-common-subsequence ratio.
+suffixes and beginnings of core words, and pairs are compared by longest-common-subsequence ratio.
 """
 
 from __future__ import annotations
@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from lonja.operators.shared import kept, small
 
-#: Shortest and longest suffix that is indexed. Words that share a longer one share the longest indexed one too.
-MIN_SUFFIX, MAX_SUFFIX = 3, 14
-#: Companies per suffix from which it is common and is refined with the beginning of its word.
-COMMON = 12
+#: Letters of the endings and of the beginnings of words under which candidates are found.
+SUFFIX, START = 3, 4
 #: Least ratio of core words for a link, and the lead that makes a link sure without further evidence.
 LEAST_RATIO, LEAD = 0.86, 0.035
 
@@ -147,31 +145,32 @@ def parsed(df: DataFrame, name: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def _suffixes(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per core word and suffix, and per pair of first letters of its words (nicknames glued from beginnings)."""
-    word = df.select(*keep, F.explode("palabras").alias("w"))
-    n = F.length("w")
-    sizes = F.sequence(F.least(F.lit(MIN_SUFFIX), n), F.least(F.lit(MAX_SUFFIX), n))
-    return word.where(n >= 2).select(*keep, "w", F.explode(sizes).alias("n")).select(*keep, F.expr("right(w, n)").alias("clave"), F.expr("left(w, 2)").alias("inicio"))
+def _keys(df: DataFrame, i: str) -> DataFrame:
+    """One row (``i``, linea, region, ``clave``) per distinct ending and beginning of the core words.
+
+    A name of one word may be two that were glued, so every place inside it may be where the first ends and the second begins.
+    """
+    w, n = F.col("w"), F.length("w")
+    word = df.select(i, "linea", "region", (F.size("palabras") == 1).alias("sola"), F.explode("palabras").alias("w")).where(n >= 2)
+    places = lambda size: F.when(F.col("sola") & (n >= size), F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda k: F.substring(w, k, F.lit(size))))
+    ends = F.coalesce(places(SUFFIX), F.array(F.expr(f"right(w, {SUFFIX})")))
+    starts = F.coalesce(places(START), F.when(n >= START, F.array(F.expr(f"left(w, {START})"))), F.array().cast("array<string>"))
+    tagged = F.concat(F.transform(ends, lambda x: F.concat(F.lit("-"), x)), F.transform(starts, lambda x: F.concat(x, F.lit("-"))))
+    return word.select(i, "linea", "region", F.explode(tagged).alias("clave")).distinct()
 
 
 def candidates(names: DataFrame, companies: DataFrame) -> DataFrame:
-    """Pairs (``nid``, ``cid``) that share a suffix of a core word.
+    """Pairs (``nid``, ``cid``) of the same line of business and region that share an ending or a beginning of a core word.
 
-    A suffix of more than COMMON companies is refined: it counts only together with the first two letters of its word.
-    Refined keys are never discarded, whatever their number. Words with slips in their last letters share no suffix,
-    so beginnings of five letters count too; of four where the name is one word, as nicknames are glued from
-    beginnings of words.
+    The endings are the shortest ones, of SUFFIX letters: words that share a longer one share these too. Every key is
+    refined with line and region, and a field that the name lacks matches any, so only pairs that can't be a link are
+    left out. No key is discarded, however many companies have it. Words with slips in their last letters share no
+    ending, so beginnings of START letters count too; these also hold together nicknames glued from beginnings, one of
+    whose two parts has START letters or more.
     """
-    left, right = _suffixes(names, ["nid"]), _suffixes(companies, ["cid"])
-    common = right.groupBy("clave").agg(F.count_distinct("cid").alias("n")).where(F.col("n") > COMMON).select("clave", F.lit(True).alias("comun"))
-    key = F.when(F.col("comun"), F.concat_ws("|", "inicio", "clave")).otherwise(F.col("clave"))
-    refine = lambda d, i: d.join(common, "clave", "left").select(i, key.alias("clave")).distinct()
-    by_suffix = refine(left, "nid").join(refine(right, "cid"), "clave").select("nid", "cid")
-    start = lambda d, i, n: d.select(i, F.explode("palabras").alias("w")).where(f"length(w) >= {n}").select(i, F.expr(f"left(w, {n})").alias("clave")).distinct()
-    by_start = start(names, "nid", 5).join(start(companies, "cid", 5), "clave").select("nid", "cid")
-    nicknames = start(names.where(F.size("palabras") == 1), "nid", 4).join(start(companies, "cid", 4), "clave").select("nid", "cid")
-    return by_suffix.unionAll(by_start).unionAll(nicknames).distinct()
+    either = lambda c: F.explode(F.array_distinct(F.array(F.col(c), F.lit("")))).alias(c)
+    right = _keys(companies, "cid").select("cid", "clave", either("linea"), "region").select("cid", "clave", "linea", either("region"))
+    return _keys(names, "nid").join(right, ["clave", "linea", "region"]).select("nid", "cid").distinct()
 
 
 def core_ratio(a: list[str], b: list[str]) -> float:
@@ -208,7 +207,7 @@ def link(names: DataFrame, companies: DataFrame) -> DataFrame:
     clean = names.where(F.trim("nombre") != "").groupBy("nombre").agg(F.mode("sector").alias("sector"))
     n = kept(parsed(clean, "nombre").withColumn("nid", F.xxhash64("nombre")))
     c = kept(parsed(companies.where(F.trim("nombre") != ""), "nombre").dropDuplicates(["ruc", "linea", "region", "palabras"]).withColumn("cid", F.xxhash64("ruc", "linea", "region", F.array_join("palabras", " "))))
-    pairs = candidates(n.select("nid", "palabras"), c.select("cid", "palabras"))
+    pairs = candidates(n.select("nid", "linea", "region", "palabras"), c.select("cid", "linea", "region", "palabras"))
     # a line's usual sector, from the names that state both: at most one row per entry of LINES
     usual = n.where("linea <> '' and sector is not null").groupBy("linea").agg(F.mode("sector").alias("sector"))
     c = c.join(F.broadcast(usual), "linea", "left")

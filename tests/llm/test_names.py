@@ -50,6 +50,16 @@ def test_link(spark):
     assert names.link(df.select("nombre", "sector"), c.limit(0)).count() == 0
 
 
+def test_slips_where_many_companies_share_an_ending(spark):
+    """Glued names with a slip in the first letters, and slips in the middle of both words."""
+    firsts = ["Senllomes", "Bembone", "Calclagan", "Dorquipax", "Estuvirno", "Fimparde", "Gortalen", "Hinjadal", "Jubrecol", "Kelgritia", "Lirvarto", "Mosdenfu", "Nelchagan", "Ostnatia", "Pulverin"]
+    companies = [(str(i), f"Agroindustrial {f} Gannamar del Norte S.A.", []) for i, f in enumerate(firsts)] + [("90", "Industrias Narmural Marjalva Andina", [])]
+    typed = {"AGROINDUSTRIAL SENHLLOMESGANNAMAR DEL NORTE": "0", "ZENLLOMESGANNAMAR": "0", "AGROINDUSTRIAL ESUTVIRNOGANNAMAR": "4", "INDUSTRIAS NARMRUAL MARJLAVA ANDINA": "90", "PESQUERA ZENLLOMESGANNAMAR": None, "ZENLLOMESGANNAMAR DEL SUR": None}
+    c = spark.createDataFrame(companies, "ruc string, nombre string, raices array<string>")
+    got = {r["nombre"]: r["ruc"] for r in names.link(spark.createDataFrame([(n, None) for n in typed], "nombre string, sector string"), c).collect()}
+    assert got == {k: v for k, v in typed.items() if v}
+
+
 def test_sector_decides_between_lines(spark):
     c = spark.createDataFrame([("1", "Banco Alfalfa Bembone S.A.", []), ("2", "Pesquera Alfalfa Bembone S.A.", [])], "ruc string, nombre string, raices array<string>")
     rows = [("Alfalfa Bembone", "Bancos"), ("Alfalfa Bembone SA", None), ("Banco Otro Nombre", "Bancos"), ("Pesquera Otro Nombre", "Industrial")]
