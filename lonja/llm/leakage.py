@@ -4,7 +4,7 @@ A passage of 25 words with a word in six changed still holds a run of five uncha
 are fingerprinted at every position of items and documents. A word enters the fingerprint with itself and its letter
 triples, so a slip within a word moves few bits. Fingerprints of 64 bits are cut into four blocks of 16: two that differ
 in at most three bits agree in one block, so looking every block up in a table finds all within that radius. Documents
-then have to share enough weighted word pairs with a stretch of the item, and at last are aligned with it word by word.
+then have to share enough word pairs with a stretch of the item, and at last are aligned with it word by word.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ from lonja.operators.shared import spread
 WINDOW, RADIUS, BLOCKS = 5, 3, 4
 #: Words of an item that have to be there, and the least share of one changed word in so many.
 PASSAGE, CHANGED = 25, 6.0
-#: Weighted share of the word pairs of a stretch of PASSAGE item words that candidates have to hold.
-LEAST_SHARE = 0.38
+#: Share of the word pairs of a stretch of PASSAGE item words that candidates have to hold. No passage is below it: a
+#: change breaks at most two pairs, and breaking more than 12 of 24 in every stretch takes seven changes in each, but
+#: a passage of fewer than 42 words has six at most, and in longer ones seven in the first stretch and seven in the
+#: last are more than one word in six, or crowd into the eight words that both have and break nine pairs.
+LEAST_SHARE = 0.5
 #: Items that are held in memory at once; more are taken in blocks, each in its own pass over the documents.
 ITEMS_PER_PASS = 20_000
 
@@ -113,17 +116,14 @@ def fingerprints(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Pairs:
-    """The neighbouring word pairs of an item: distinct ones, where each stands, weights, and weights of all stretches."""
+    """The neighbouring word pairs of an item: distinct ones, and where each stands."""
 
     distinct: np.ndarray
     place: np.ndarray
-    weights: np.ndarray
-    stretches: np.ndarray
 
     @staticmethod
-    def of(pairs: np.ndarray, weights: np.ndarray) -> Pairs:
-        distinct, place = np.unique(pairs, return_inverse=True)
-        return Pairs(distinct, place, weights, _stretches(weights))
+    def of(pairs: np.ndarray) -> Pairs:
+        return Pairs(*np.unique(pairs, return_inverse=True))
 
 
 def _stretches(values: np.ndarray) -> np.ndarray:
@@ -167,12 +167,9 @@ def build(items: list[tuple[int, str]]) -> Items:
         order = np.argsort(key, kind="stable")
         tables.append((np.searchsorted(key[order], np.arange(65_537)), order))
     pairs = [w[:-1] * known + w[1:] for w in words]
-    # a word pair that many items share (they come from templates) says less
-    distinct, n = np.unique(np.concatenate([np.unique(p) for p in pairs]), return_counts=True) if pairs else (empty, empty)
-    weights = [1.0 / (1.0 + np.log(n[np.searchsorted(distinct, p)])) for p in pairs]
     of = np.concatenate([np.full(len(p), k) for k, p in enumerate(prints)]) if prints else empty
     at = np.concatenate([np.arange(len(p)) for p in prints]) if prints else empty
-    return Items(ids, words, [Pairs.of(p, w) for p, w in zip(pairs, weights)], allp, of, at, tables, v, known)
+    return Items(ids, words, [Pairs.of(p) for p in pairs], allp, of, at, tables, v, known)
 
 
 def near_windows(prints: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -196,12 +193,12 @@ def near_windows(prints: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarr
 
 
 def share(item: Pairs, region: np.ndarray, known: int) -> float:
-    """The best weighted share of word pairs that a stretch of PASSAGE item words has in common with the region."""
+    """The best share of word pairs that a stretch of PASSAGE item words has in common with the region."""
     codes = np.where((region[:-1] < known) & (region[1:] < known), region[:-1] * known + region[1:], -1)
     at = np.minimum(np.searchsorted(item.distinct, codes), len(item.distinct) - 1)
     there = np.zeros(len(item.distinct), dtype=bool)
     there[at[item.distinct[at] == codes]] = True
-    return float((_stretches(there[item.place] * item.weights) / item.stretches).max())
+    return float(_stretches(there[item.place]).max()) / (PASSAGE - 1)
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -226,7 +223,10 @@ def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def longest_passage(item: np.ndarray, region: np.ndarray, changed: float = CHANGED) -> int:
-    """Most consecutive item words that the region holds in order with at most one in ``changed`` changed, added or missing."""
+    """Most consecutive item words that the region holds in order with at most one in ``changed`` changed, added or missing.
+
+    A run may begin and end with changed words, as long as the region has words in their places.
+    """
     pairs = aligned(item, region)
     if len(pairs) < PASSAGE // 2:
         return 0
@@ -236,7 +236,9 @@ def longest_passage(item: np.ndarray, region: np.ndarray, changed: float = CHANG
     length = p[None, :, 0] - p[:, 0][:, None] + 1
     wrong = errors[None, :] - errors[:, None]
     ok = (length > 0) & (wrong * changed <= length)
-    return int(length[ok].max())
+    before, after = p.min(axis=1), (np.array([len(item), len(region)]) - 1 - p).min(axis=1)
+    more = np.minimum(before[:, None] + after[None, :], (length - wrong * changed) // (changed - 1))
+    return int((length + more)[ok].max())
 
 
 def leaks(texts: list[str], items: Items, least: int = PASSAGE) -> list[tuple[int, int, int]]:

@@ -44,6 +44,26 @@ def test_passages(spark):
     assert lk.leaked(d.limit(0), "doc", "t", i, "item", "t").count() == 0 and lk.leaked(d, "doc", "t", i.limit(0), "item", "t").count() == 0
 
 
+def test_changes_at_the_ends_and_on_rare_pairs(spark):
+    """Items from one template: changes on the few pairs that only one item has leave enough; so do changed end words."""
+    template = text(25, 77)
+    items = []
+    for k in range(40):
+        own = list(template)
+        for i in (4, 9, 14, 19):
+            own[i] = WORDS[200 + 4 * k + i // 5]
+        items.append((k, " ".join(own)))
+    rare = items[7][1].split()
+    for i in (4, 9, 14, 19):
+        rare[i] = f"otra{'abcdefghijklmnopqrstuvwxyz'[i]}"
+    ends = ITEMS[3][1].split()[10:35]
+    ends[0], ends[24] = "primera", "ultima"
+    d = spark.createDataFrame([(0, " ".join(text(60, 21) + rare + text(60, 22))), (1, " ".join(text(60, 23) + ends + text(60, 24))), (2, " ".join(text(60, 25) + ends[1:20] + text(60, 26)))], "doc long, t string")
+    i = spark.createDataFrame([*items, (103, ITEMS[3][1])], "item long, t string")
+    got = {(r["doc"], r["item"]) for r in lk.leaked(d, "doc", "t", i, "item", "t").collect()}
+    assert (0, 7) in got and (1, 103) in got and all(x[0] != 2 for x in got)
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(lk, "ITEMS_PER_PASS", 5)
     d = spark.createDataFrame([(k, ITEMS[k][1]) for k in range(20)], "doc long, t string")
