@@ -35,6 +35,8 @@ ABBREVIATIONS = {
 #: Two-digit years from here on are of the 20th century.
 PIVOT = 90
 FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: More letters than the longest layout takes, after blanks are collapsed; longer texts are unreadable, never cut.
+LONGEST = 128
 NAT = np.iinfo(np.int64).min
 SECOND, MICROS_DAY = 1_000_000, 86_400_000_000
 
@@ -248,7 +250,8 @@ def normalise(df: DataFrame, text: Column, zone: Column, month_first: Column, zo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            t = pdf["__t"].fillna("").str.strip().str.slice(0, 64).str.replace(r"\s+", " ", regex=True)
+            t = pdf["__t"].fillna("").str.strip().str.replace(r"\s+", " ", regex=True)
+            t = t.where(t.str.len() <= LONGEST, "")
             texts = t.to_numpy(dtype=object)
             zone_of = pdf["__z"].to_numpy(dtype=object)
             when, off = convert(texts, pdf["__m"].to_numpy(dtype=bool))

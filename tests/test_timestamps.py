@@ -30,6 +30,14 @@ def test_cases(spark):
     assert out.count() == len(CASES) and bad == []
 
 
+def test_long_texts_are_read_whole_or_not_at_all(spark):
+    long = "miercoles, 15 de septiembre de 2024, 12:34:56.123456 a. m. UTC+05:30"
+    cases = [(long, "2024-09-14 19:04:56.123456"), ("2021-01-01" + " " * 80 + "10:00:00Z", "2021-01-01 10:00:00.000000"), (long + " x" * 40, None), ("2021-01-01 10:00:00" + "Z" * 200, None)]
+    df = spark.createDataFrame(cases, "t string, w string")
+    out = ts.normalise(df, F.col("t"), F.lit("America/Lima"), F.lit(False), ZONES, [F.col("t"), F.col("w")])
+    assert out.withColumn("g", ts.instant_text(F.col("instante"))).where("not (g <=> w)").collect() == []
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "t string, z string, m boolean")
     assert ts.normalise(df, F.col("t"), F.col("z"), F.col("m"), ZONES, []).count() == 0
