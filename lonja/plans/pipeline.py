@@ -13,7 +13,8 @@ from lonja.operators import audit
 from lonja.operators.delta import STATE_STAGED, Gate, run_id
 from lonja.plans import gold, views
 from lonja.sources import table
-from lonja.sources.writers import write_json, write_table
+from lonja.sources.files import Files
+from lonja.sources.writers import write_table
 
 
 @dataclass
@@ -79,8 +80,7 @@ def run(spark: SparkSession, root: str, steps: list[Step], out: str, run: str |
             r.error = f"{type(e).__name__}: {str(e)[:300]}"
         r.segundos = round(time.time() - began, 3)
         reports.append(r)
-    if "://" not in out:
-        write_json({"run_id": run, "conjuntos": [asdict(r) for r in reports]}, f"{out}/run_id={run}/manifest.json")
+    Files(spark).write_json(f"{out}/run_id={run}/manifest.json", {"run_id": run, "conjuntos": [asdict(r) for r in reports]})
     return reports
 
 

@@ -9,6 +9,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lonja.sources.files import Files
+from lonja.sources.writers import write_table
+
 
 def replicated(df: DataFrame, n: int) -> DataFrame:
     """Every row ``n`` times with its ``replica`` number, generated row by row without a join."""
@@ -33,11 +36,10 @@ def replica_audit(table: DataFrame) -> DataFrame:
 def run_scale(spark: SparkSession, quotes: DataFrame, fx: DataFrame, risk: DataFrame, n: int, path: str) -> dict:
     """Writes the workload by year and month, reads it back, and reports seconds, rows, bytes and rows per second."""
     began = time.time()
-    scale_table(quotes, fx, risk, n).repartition("anio", "mes").write.mode("overwrite").partitionBy("anio", "mes").parquet(path)
+    write_table(scale_table(quotes, fx, risk, n), path, ("anio", "mes"))
     wrote = time.time()
     audit = replica_audit(spark.read.parquet(path)).first().asDict()
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    size = Files(spark).size(path)
     return {"escala": n, "segundos_escritura": wrote - began, "segundos_auditoria": time.time() - wrote, "bytes": size, "filas_por_segundo": audit["filas"] / max(1e-9, wrote - began), **audit}
 
 

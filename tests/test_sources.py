@@ -62,19 +62,40 @@ def test_tables(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 2
 
 
-def test_ingestion(tmp_path):
+def test_ingestion(spark, tmp_path):
     lake = str(tmp_path / "lake")
-    ok, bad, empty = tmp_path / "ok.json", tmp_path / "bad.json", tmp_path / "e.csv"
+    ok, bad, empty, head = tmp_path / "ok.json", tmp_path / "bad.json", tmp_path / "e.csv", tmp_path / "h.csv"
     ok.write_text("[1]")
     bad.write_text("{")
     empty.write_text("")
-    go = lambda p, run="r1", ext=None: writers.ingest(lake, str(p), "SMV", "q", ext or p.suffix, run, "2024-01-01")
-    states = [go(ok).estado, go(ok, "r2").estado, go(bad).estado, go(empty).estado, go(tmp_path / "none.json").estado, go(ok, ext="csv").estado]
-    assert states == ["SUCCESS", "SKIPPED_DUPLICATE", "REJECTED", "REJECTED", "REJECTED", "REJECTED"]
+    head.write_text("\n1,2\n")
+    (tmp_path / "l.csv").write_bytes(b"a\xff\n")
+    go = lambda *p, run="r1", ext=None: [r.estado for r in writers.ingest(spark, lake, [str(x) for x in p], "SMV", "q", ext or p[0].suffix, run, "2024-01-01")]
+    assert go(ok, bad, tmp_path / "none.json") == ["SUCCESS", "REJECTED", "REJECTED"]
+    assert go(ok, run="r2") == ["SKIPPED_DUPLICATE"]
+    assert go(empty, head, tmp_path / "l.csv") == ["REJECTED"] * 3
+    assert go(ok, ext="csv") == ["REJECTED"]
     ok.write_text("[2]")
-    clash = go(ok, "r3")
-    assert clash.estado == "FAILED" and writers.exit_code([clash]) == 1
+    clash = writers.ingest(spark, lake, [str(ok)], "SMV", "q", "json", "r3", "2024-01-01")
+    assert clash[0].estado == "FAILED" and writers.exit_code(clash) == 1
     assert (tmp_path / "lake/quarantine/SMV/q/run_id=r1/bad.json").is_file()
+    assert json.loads((tmp_path / "lake/metadata/ingestion/audit/run_id=r3/ok.json.json").read_text())["estado"] == "FAILED"
+
+
+def test_reload_keeps_the_former_version(spark, tmp_path):
+    lake, src = str(tmp_path / "lake"), tmp_path / "src"
+    src.mkdir()
+    (src / "a.xml").write_text("<a/>")
+    (src / "r.json").write_text('[{"k": 1}, {"k": 2}]')
+    rows = lambda: spark.read.option("multiLine", True).json(str(src / "r.json"))
+    go = lambda v, files, n: writers.reload(spark, lake, str(src), "SMV", "valores", v, files, rows(), n)
+    assert go("1", {"xml": 1, "json": 1}, 2)["estado"] == "SUCCESS"
+    assert "expected" in go("2", {"xml": 289}, 2)["detalle"] and "rows" in go("2", {"xml": 1}, 1008)["detalle"]
+    assert (tmp_path / "lake/bronze/SMV/valores/vigente").read_text() == "1"
+    assert go("1", {"xml": 1}, 2)["estado"] == "FAILED"
+    (src / "b.xml").write_text("<b/>")
+    assert go("2", {"xml": 2, "json": 1}, 2)["archivos"] == 3
+    assert (tmp_path / "lake/bronze/SMV/valores/vigente").read_text() == "2" and (tmp_path / "lake/bronze/SMV/valores/version=1/a.xml").is_file()
 
 
 def test_stream_of_deltas(spark, tmp_path):
