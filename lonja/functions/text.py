@@ -25,14 +25,24 @@ def loose_name(c: Column) -> Column:
 
 
 def series_date(c: Column) -> Column:
-    """``02Ene97``: day, Spanish month, two-digit year (from 90 on 19xx); anything else is NULL."""
+    """The day of a line of a series: ``02Ene97``, ``2 Ene. 1997``, ``02/01/1997``, ``02-01-97``, ``19970102`` or ``1997-01-02``
+    (a time after it does not count). The day stands before the month; two-digit years from 90 on are 19xx. NULL for anything else."""
     t = F.lower(stripped(c))
-    part = lambda i: F.regexp_extract(t, r"^(\d{2})([a-z]{3})(\d{2})$", i)
     month = F.create_map(*(F.lit(x) for kv in MONTHS.items() for x in kv))
-    year = part(3).try_cast("int")
-    year = F.when(year >= PIVOT, 1900 + year).otherwise(2000 + year)
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(F.try_element_at(month, part(2)).cast("string"), 2, "0"), part(1))
-    return F.to_date(F.try_to_timestamp(F.when(part(1) != "", text), F.lit("yyyy-MM-dd")))
+
+    def read(pattern: str, named: bool = False, year_first: bool = False) -> Column:
+        part = [F.regexp_extract(t, pattern, i) for i in (1, 2, 3)]
+        y, m, d = part if year_first else part[::-1]
+        m = F.try_element_at(month, m).cast("string") if named else m
+        n = y.try_cast("int")
+        year = F.when(F.length(y) > 2, n).when(n >= PIVOT, 1900 + n).otherwise(2000 + n)
+        text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+        return F.to_date(F.try_to_timestamp(F.when((part[0] != "") & m.isNotNull(), text), F.lit("yyyy-MM-dd")))
+
+    return F.coalesce(
+        read(r"^(\d{1,2})[ .-]?([a-z]{3})[ .-]?(\d{4}|\d{2})$", named=True), read(r"^(\d{2})[/-](\d{2})[/-](\d{4}|\d{2})$"),
+        read(r"^(\d{4})(\d{2})(\d{2})$", year_first=True), read(r"^(\d{4})-(\d{2})-(\d{2})(?:t.*)?$", year_first=True),
+    )
 
 
 def day(c: Column) -> Column:
@@ -73,6 +83,10 @@ def payload_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+#: What stands for NULL in a hashed key. Fixed value.
+NULL_MARK = "<NULL>"
+
+
 def key_hash(*columns: Column) -> Column:
-    """SHA-256 of the columns joined by ``||``; NULLs count as empty text."""
-    return F.sha2(F.concat_ws("||", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)), 256)
+    """SHA-256 of the columns joined by ``||``; a NULL counts as NULL_MARK, so it is not the same as an empty text."""
+    return F.sha2(F.concat_ws("||", *(F.coalesce(c.cast("string"), F.lit(NULL_MARK)) for c in columns)), 256)

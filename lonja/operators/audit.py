@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonja.functions.text import percent
+from lonja.operators.shared import kept
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -100,3 +101,23 @@ def explaining_fields(df: DataFrame, keys: Sequence[str], fields: Sequence[str])
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.count_distinct(F.coalesce(F.col(f).cast("string"), F.lit("∅"))).alias(f) for f in fields)).where("n > 1")
     one = per.agg(*(F.count_if(F.col(f) > 1).alias(f) for f in fields))
     return one.select(F.explode(F.array(*(F.struct(F.lit(f).alias("campo"), F.col(f).alias("grupos")) for f in fields))).alias("x")).select("x.*")
+
+
+def exact_quantile(df: DataFrame, column: str, p: float) -> DataFrame:
+    """One row (``cuantil``, ``n``): the exact quantile with linear interpolation over the non-null values.
+
+    Values shrink to distinct ones with their number, which are sorted by range over all tasks; the two values around
+    the place are then found from the ranges' sums, so no task sees more than one range.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("m"))
+    parts = kept(counts.repartitionByRange("x").select("x", "m", F.spark_partition_id().alias("r")))
+    sums = parts.groupBy("r").agg(F.sum("m").alias("s"))
+    # one row per range
+    before = sums.select("r", F.coalesce(F.sum("s").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("antes"), F.sum("s").over(Window.partitionBy(F.lit(1))).alias("n"))
+    upto = F.sum("m").over(Window.partitionBy("r").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = parts.withColumn("hasta", upto).join(F.broadcast(before), "r").withColumn("hasta", F.col("hasta") + F.col("antes"))
+    place = (F.col("n") - 1) * F.lit(p)
+    at = lambda k: F.min(F.when((F.col("hasta") > k) & (F.col("hasta") - F.col("m") <= k), F.col("x")))
+    ends = placed.agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"), F.max("n").alias("n"))
+    part = (F.col("n") - 1) * F.lit(p)
+    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * (part - F.floor(part))).alias("cuantil"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonja.functions.text import percent_change, quarter_label
+from lonja.operators.shared import join_hot
 
 
 def macro(fx: DataFrame, risk: DataFrame, corrected: bool = True) -> DataFrame:
@@ -16,21 +17,23 @@ def macro(fx: DataFrame, risk: DataFrame, corrected: bool = True) -> DataFrame:
 def market_daily(quotes: DataFrame, macro_rows: DataFrame) -> DataFrame:
     """Quotes with the day's macro values, the change and return against the previous traded row, and the day's range.
 
+    All other columns of the quotes are passed on.
     The window needs one shuffle on the ticker; the macro side has a row per day and is broadcast by its size.
     """
     w = Window.partitionBy("nemonico").orderBy("fecha")
-    names = {"fecha_cotizacion": "fecha", "valor": "nemonico", "cierre_actual": "cierre", "maxima_actual": "maximo", "minima_actual": "minimo"}
+    names = {"fecha_cotizacion": "fecha", "valor": "nemonico", "cierre_actual": "precio_cierre", "maxima_actual": "precio_maximo", "minima_actual": "precio_minimo"}
     q = quotes.select(*(F.col(c).alias(names.get(c, c)) for c in quotes.columns))
-    prev, close, high, low = F.lag("cierre").over(w), F.col("cierre"), F.col("maximo"), F.col("minimo")
+    prev, close, high, low = F.lag("precio_cierre").over(w), F.col("precio_cierre"), F.col("precio_maximo"), F.col("precio_minimo")
     out = q.withColumn("__prev", prev).withColumn("variacion_precio", close - F.col("__prev")).withColumn("retorno_diario_pct", percent_change(close, F.col("__prev")))
     out = out.withColumn("rango_intradia", high - low).withColumn("rango_intradia_pct", F.when(low > 0, 100 * (high - low) / low)).drop("__prev")
     return out.join(macro_rows, "fecha", "left")
 
 
 def broker_daily(brokers: DataFrame) -> DataFrame:
-    """Turnover with the broker's dense rank of the day, ties sharing a rank and NULL totals last."""
-    w = Window.partitionBy("fecha_negociacion").orderBy(F.col("monto_total").desc_nulls_last())
-    return brokers.withColumn("ranking_sab_dia_por_monto", F.dense_rank().over(w))
+    """The nine columns of turnover with the broker's dense rank of the day, ties sharing a rank and NULL totals last."""
+    w = Window.partitionBy("fecha").orderBy(F.col("monto_total").desc_nulls_last())
+    nine = ["codigo_sab", "sociedad_agente_bolsa", *(f"{a}_{b}" for a in ("monto", "porcentaje") for b in ("compras", "ventas", "total"))]
+    return brokers.select(F.col("fecha_negociacion").alias("fecha"), *nine).withColumn("ranking_sab_dia_por_monto", F.dense_rank().over(w))
 
 
 def quarterly_market(quotes: DataFrame, bridge: DataFrame, corrected: bool = True) -> DataFrame:
@@ -53,13 +56,15 @@ PERIOD = ["ruc", "ejercicio", "trimestre"]
 def split_filings(filings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(usable, invalid, ambiguous): rows without a valid company id, and of periods with more than one row, are set aside.
 
-    The three add up to the input. A period's count comes from an aggregate joined back, so a hot period stays spread.
+    The three add up to the input. The periods with more than one row are broadcast by their size or salted, so a hot
+    period stays spread. A NULL year or quarter is a period like any other.
     """
     invalid = filings.where("ruc is null")
-    valid = filings.where("ruc is not null")
-    many = valid.groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    on = [valid[c].eqNullSafe(many[c]) for c in PERIOD]
-    return valid.join(many, on, "left_anti"), invalid, valid.join(many, on, "left_semi")
+    valid = filings.where("ruc is not null").withColumn("__p", F.to_json(F.struct(*PERIOD), {"ignoreNullFields": "false"}))
+    n = valid.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    marked = join_hot(valid, n, "__p", "left")
+    part = lambda many: marked.where(f"__n is {'not ' if many else ''}null").select(*filings.columns)
+    return part(False), invalid, part(True)
 
 
 def company_quarter(filings: DataFrame, market: DataFrame) -> DataFrame:
@@ -100,22 +105,20 @@ def event_impact(events: DataFrame, bridge: DataFrame, quotes: DataFrame, key: s
 def event_impact_asof(events: DataFrame, bridge: DataFrame, quotes: DataFrame, key: str, date: str) -> DataFrame:
     """The last quote before an event and the first on or after it, per ticker, without an inequality join.
 
-    Events and quotes of a ticker are put into one sequence by day, and the neighbours come from two window functions,
-    so the work grows with the rows, not with pairs of them. Several events of one ticker and day share their quotes.
+    The distinct event days of a ticker and its quotes are put into one sequence by day, and the neighbours come from
+    two window functions, so a window holds at most two rows per ticker and day however many events there are. The
+    neighbours are then joined back to the events, broadcast by their size or salted.
     """
-    e = events.where("ruc is not null").select(key, "ruc", F.col(date).alias("dia")).where("dia is not null").join(bridge.select("ruc", F.col("nemonico_valor").alias("nemonico")), "ruc")
-    point = F.struct(F.col("dia"), F.col("cierre"), F.col("monto"))
-    q = quotes.select(F.col("valor").alias("nemonico"), F.col("fecha_cotizacion").alias("dia"), F.col("cierre_actual").alias("cierre"), F.col("monto_negociado").alias("monto"))
-    q = q.select("nemonico", "dia", F.lit(1).alias("orden"), F.lit(None).cast("string").alias(key), point.alias("p"))
-    a = e.select("nemonico", "dia", F.lit(0).alias("orden"), key, F.lit(None).cast(q.schema["p"].dataType).alias("p"))
+    e = events.where("ruc is not null").select(key, "ruc", F.col(date).alias("dia")).where("dia is not null").join(bridge.select("ruc", F.col("nemonico_valor").alias("nemonico")), "ruc").select(key, "nemonico", "dia")
+    q = quotes.select(F.col("valor").alias("nemonico"), F.col("fecha_cotizacion").alias("dia"), F.lit(1).alias("orden"), F.struct(F.col("fecha_cotizacion").alias("dia"), F.col("cierre_actual").alias("cierre"), F.col("monto_negociado").alias("monto")).alias("p"))
+    a = e.select("nemonico", "dia").distinct().select("nemonico", "dia", F.lit(0).alias("orden"), F.lit(None).cast(q.schema["p"].dataType).alias("p"))
     w = Window.partitionBy("nemonico").orderBy("dia", "orden")
-    both = q.unionByName(a)
     before = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     # in descending order the running last value is the next quote on or after the event
     back = Window.partitionBy("nemonico").orderBy(F.desc("dia"), F.desc("orden"))
     after = F.last("p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("antes", before).withColumn("despues", after).where("orden = 0")
-    return out.select(
+    days = q.unionByName(a).withColumn("antes", before).withColumn("despues", after).where("orden = 0").select(F.struct("nemonico", "dia").alias("__k"), "antes", "despues")
+    return join_hot(e.withColumn("__k", F.struct("nemonico", "dia")), days, "__k").select(
         key, "nemonico", F.col("dia").alias("fecha_evento"), F.col("antes.dia").alias("fecha_cotizacion_previa"), F.col("despues.dia").alias("fecha_cotizacion_evento_o_siguiente"),
         F.col("antes.cierre").alias("cierre_previo"), F.col("despues.cierre").alias("cierre_evento"),
         F.try_divide(100 * (F.col("despues.cierre") - F.col("antes.cierre")), F.col("antes.cierre")).alias("retorno_evento_pct"), (F.col("despues.monto") - F.col("antes.monto")).alias("cambio_monto_negociado"),

@@ -34,6 +34,7 @@ class Fitted:
     threshold: float
     metrics: dict[str, float]
     confusion: DataFrame
+    scored: DataFrame
 
 
 def train(table: DataFrame, last_train_year: int, test_year: int, percentile: float = 0.75) -> Fitted:
@@ -52,7 +53,7 @@ def train(table: DataFrame, last_train_year: int, test_year: int, percentile: fl
     metrics = {"roc_auc": BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored)}
     for m in ("f1", "accuracy", "weightedPrecision", "weightedRecall"):
         metrics[m] = MulticlassClassificationEvaluator(metricName=m).evaluate(scored)
-    return Fitted(model, threshold, metrics, scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("filas")))
+    return Fitted(model, threshold, metrics, scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("filas")), scored)
 
 
 def majority_share(table: DataFrame, label: Column) -> DataFrame:

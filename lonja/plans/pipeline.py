@@ -37,9 +37,10 @@ class Step:
 
 
 TYPED = [
-    Step("cotizaciones", views.quotes, ("valor", "fecha_cotizacion"), ("anio", "mes")),
+    Step("cotizaciones", lambda s, r: views.quotes(s, r, views.PASSED_ON), ("valor", "fecha_cotizacion"), ("anio", "mes")),
     Step("puente", views.bridge, ("ruc", "nemonico_valor")),
-    Step("cuentas", views.filings, ("id_registro",), ("ejercicio", "trimestre_num")),
+    Step("cuentas", views.filings_with_collisions, ("id_registro",), ("ejercicio", "trimestre_num")),
+    Step("riesgo", views.risk, ("fecha",)),
     Step("eventos", views.events, ("numero_expediente",), ("coherencia_temporal",)),
     Step("identidad", views.identity, ("numero_expediente",)),
 ]
@@ -54,8 +55,8 @@ def _impact(spark, root):
 
 
 PRODUCTS = [
-    Step("mercado_valor_diario", lambda s, r: gold.market_daily(views.quotes(s, r), gold.macro(views.fx(s, r), views.risk(s, r))), ("nemonico", "fecha")),
-    Step("actividad_sab_diaria", lambda s, r: gold.broker_daily(views.brokers(s, r)), ("fecha_negociacion", "codigo_sab")),
+    Step("mercado_valor_diario", lambda s, r: gold.market_daily(views.quotes(s, r, views.PASSED_ON), views.macro(s, r)), ("nemonico", "fecha")),
+    Step("actividad_sab_diaria", lambda s, r: gold.broker_daily(views.brokers(s, r)), ("fecha", "codigo_sab")),
     Step("empresa_trimestre", lambda s, r: gold.company_quarter(views.filings(s, r), gold.quarterly_market(views.quotes(s, r), views.bridge(s, r))), ("ruc", "ejercicio", "trimestre")),
     Step("hechos_empresa", _events, ("numero_expediente",)),
     Step("impacto_hechos_valor", _impact, ("numero_expediente", "nemonico")),

@@ -2,57 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lonja.functions.keys import company_id, quarter, ticker
-from lonja.functions.text import company_name, day, quarter_label
+from lonja.functions.text import company_name, day, quarter_label, series_date, series_number
+from lonja.operators.delta import with_collisions
 from lonja.operators.identity import bridge as make_bridge
 from lonja.operators.identity import resolve, unique_names
+from lonja.plans.gold import macro as macro_of
 from lonja.sources import table
 
 BRIDGE_ATTRIBUTES = ["razon_social", "codigo_isin", "denominacion_valor", "tipo_valor", "moneda", "fecha_inscripcion", "resolucion_inscripcion"]
 
 
-def quotes(spark: SparkSession, root: str) -> DataFrame:
-    """One row per ticker and day: the last registration of the day (then the least id)."""
-    q = table(spark, root, "cotizaciones").withColumn("t", ticker(F.col("valor"))).where("t is not null and fecha_cotizacion is not null")
-    cols = ["cierre_anterior", "cierre_actual", "apertura_actual", "maxima_actual", "minima_actual", "promedio_actual", "monto_negociado"]
-    last = q.groupBy(F.col("t").alias("valor"), "fecha_cotizacion").agg(F.max_by(F.struct(*cols), F.struct(F.coalesce("num_registro", F.lit(-1)), -F.col("id_fila"))).alias("r"))
-    return last.select("valor", "fecha_cotizacion", *(F.col(f"r.{c}").alias(c) for c in cols), F.year("fecha_cotizacion").alias("anio"), F.month("fecha_cotizacion").alias("mes"))
+#: The figures of a quote, and the columns that only the product hands on.
+FIGURES = ("cierre_anterior", "cierre_actual", "apertura_actual", "maxima_actual", "minima_actual", "promedio_actual", "monto_negociado")
+PASSED_ON = ("num_registro", "descripcion", "fuente", "fecha_ingesta")
 
 
-def parts_as_quotes(spark: SparkSession, root: str) -> DataFrame:
-    """Daily quotes made of order lines: part as ticker, unit price as close."""
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
-    return (
-        table(spark, root, "lineitem")
-        .groupBy(F.col("l_partkey").alias("valor"), F.to_date("l_shipdate").alias("fecha_cotizacion"))
-        .agg(F.max(unit).alias("cierre_actual"), F.max(unit * (1 + F.col("l_discount"))).alias("maxima_actual"), F.min(unit * (1 - F.col("l_tax"))).alias("minima_actual"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("monto_negociado"))
-    )
+def quotes(spark: SparkSession, root: str, more: Sequence[str] = ()) -> DataFrame:
+    """One row per ticker and day: the last registration of the day (then the least id), with its FIGURES and ``more``."""
+    q = table(spark, root, "cotizaciones").withColumn("t", ticker(F.col("valor"))).where("t is not null and fecha_cotizacion is not null")
+    last = q.groupBy(F.col("t").alias("valor"), "fecha_cotizacion").agg(F.max_by(F.struct(*FIGURES, *more), F.struct(F.coalesce("num_registro", F.lit(-1)), -F.col("id_fila"))).alias("r"))
+    own = lambda cols: (F.col(f"r.{c}").alias(c) for c in cols)
+    return last.select("valor", "fecha_cotizacion", *own(FIGURES), F.year("fecha_cotizacion").alias("anio"), F.month("fecha_cotizacion").alias("mes"), *own(more))
 
 
 def fx(spark: SparkSession, root: str) -> DataFrame:
-    """A daily macro series with gaps: mean order total per day; NULL on days with one order."""
-    o = table(spark, root, "orders").groupBy(F.to_date("o_orderdate").alias("fecha"))
+    """A daily macro series with gaps, as there is no exchange rate among the tables: mean order total per day, 26 years
+    later so that its days are those of the quotes; NULL on days with one order."""
+    o = table(spark, root, "orders").groupBy(F.add_months(F.to_date("o_orderdate"), 26 * 12).alias("fecha"))
     return o.agg(F.when(F.count(F.lit(1)) > 1, F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("tipo_cambio"))
 
 
+def risk_series(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of the country-risk series with a readable day, in any of its notations."""
+    s = table(spark, root, "embig")
+    d = series_date(s["_c0"])
+    return s.select("num_linea", d.alias("fecha"), series_number(s["pd04709xd"]).alias("embig"), F.year(d).alias("anio"), F.month(d).alias("mes")).where("fecha is not null")
+
+
 def risk(spark: SparkSession, root: str) -> DataFrame:
-    """A second daily series with other gaps: mean total of urgent orders."""
-    o = table(spark, root, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.to_date("o_orderdate").alias("fecha"))
-    return o.agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("embig"))
+    """Country risk by day; of several lines of a day the greatest value."""
+    return risk_series(spark, root).groupBy("fecha").agg(F.max("embig").alias("embig"))
+
+
+def macro(spark: SparkSession, root: str, corrected: bool = True) -> DataFrame:
+    return macro_of(fx(spark, root), risk(spark, root), corrected)
 
 
 def brokers(spark: SparkSession, root: str) -> DataFrame:
-    """Daily turnover per broker made of order lines: supplier as broker."""
+    """Daily turnover per broker made of order lines (supplier as broker), with shares of the day's turnover."""
     amount = F.col("l_extendedprice").cast("decimal(18,2)")
     buy = F.col("l_returnflag") == "R"
-    return (
+    per = (
         table(spark, root, "lineitem")
         .groupBy(F.to_date("l_shipdate").alias("fecha_negociacion"), F.col("l_suppkey").alias("codigo_sab"))
-        .agg(F.coalesce(F.sum(F.when(buy, amount)), F.lit(0)).cast("double").alias("monto_compras"), F.coalesce(F.sum(F.when(~buy, amount)), F.lit(0)).cast("double").alias("monto_ventas"), F.sum(amount).cast("double").alias("monto_total"))
+        .agg(F.coalesce(F.sum(F.when(buy, amount)), F.lit(0)).alias("compras"), F.coalesce(F.sum(F.when(~buy, amount)), F.lit(0)).alias("ventas"), F.sum(amount).alias("total"))
     )
+    day = Window.partitionBy("fecha_negociacion")
+    share = lambda c: F.round(F.try_divide(100 * F.col(c).cast("double"), F.sum(c).over(day).cast("double")), 6).alias(f"porcentaje_{c}")
+    names = table(spark, root, "supplier").select(F.col("s_suppkey").alias("codigo_sab"), F.col("s_name").alias("sociedad_agente_bolsa"))
+    kinds = ("compras", "ventas", "total")
+    return per.select("fecha_negociacion", "codigo_sab", *(F.col(c).cast("double").alias(f"monto_{c}") for c in kinds), *(share(c) for c in kinds)).join(names, "codigo_sab", "left")
 
 
 def bridge(spark: SparkSession, root: str) -> DataFrame:
@@ -61,14 +76,19 @@ def bridge(spark: SparkSession, root: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, root: str) -> DataFrame:
-    """Headline financials with quarter number and label, validity of the company id, and collisions of the business key."""
+    """Headline financials with quarter number and label and the validity of the company id."""
     f = table(spark, root, "principales_cuentas")
     n = quarter(f["trimestre"])
-    typed = f.select(
+    return f.select(
         "id_registro", company_id(f["ruc"]).alias("ruc"), "nombre_empresa", "tipo_sector", "ejercicio", n.alias("trimestre_num"), quarter_label(n).alias("trimestre"), "tipo_informacion",
         "activo_total", "patrimonio_total", "total_ingreso", F.nanvl("utilidad_neta", F.lit(None).cast("double")).alias("utilidad_neta"), "pasivo_total", "fecha_registro", company_id(f["ruc"]).isNotNull().alias("ruc_valido"),
+        "clave_negocio",
     )
-    return typed
+
+
+def filings_with_collisions(spark: SparkSession, root: str) -> DataFrame:
+    """The typed table: filings with the number of rows of their business key and whether there are several."""
+    return with_collisions(filings(spark, root), "clave_negocio")
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:

@@ -32,15 +32,23 @@ LABEL = "case {} when 1 then '1er Trimestre' when 2 then '2do Trimestre' when 3
 
 Q_QUOTES = f"""quotes as (
   select {T.format('valor')} valor, fecha_cotizacion, cierre_anterior, cierre_actual, apertura_actual, maxima_actual, minima_actual, promedio_actual, monto_negociado,
-    year(fecha_cotizacion) anio, month(fecha_cotizacion) mes
+    year(fecha_cotizacion) anio, month(fecha_cotizacion) mes, num_registro, descripcion, fuente, fecha_ingesta
   from cotizaciones c where valor is not null and fecha_cotizacion is not null
   qualify row_number() over (partition by {T.format('c.valor')}, fecha_cotizacion order by coalesce(num_registro, -1) desc, id_fila) = 1)"""
-Q_PARTS = """parts as (
-  select l_partkey valor, cast(l_shipdate as date) fecha_cotizacion, max(l_extendedprice / l_quantity) cierre_actual, max(l_extendedprice / l_quantity * (1 + l_discount)) maxima_actual,
-    min(l_extendedprice / l_quantity * (1 - l_tax)) minima_actual, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) monto_negociado
-  from lineitem group by 1, 2)"""
-Q_FX = "fx as (select cast(o_orderdate as date) fecha, case when count(*) > 1 then cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*) end tipo_cambio from orders group by 1)"
-Q_RISK = "risk as (select cast(o_orderdate as date) fecha, cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*) embig from orders where o_orderpriority = '1-URGENT' group by 1)"
+Q_FX = """fx as (select fecha, case when n > 1 then t / n end tipo_cambio from (
+  select cast(cast(o_orderdate as date) + interval 26 year as date) fecha, count(*) n, cast(sum(cast(o_totalprice as decimal(18,2))) as double) t from orders group by 1))"""
+Q_SERIES = """series as (
+  select num_linea, case when v not in ('n.d.', '') then try_cast(replace(v, ',', '.') as double) end embig,
+    try_cast(case when regexp_full_match(t, '[0-9]{8}') then t[1:4] || '-' || t[5:6] || '-' || t[7:8]
+      when regexp_full_match(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}(t.*)?') then t[1:10]
+      when regexp_full_match(t, '[0-9]{2}[/-][0-9]{2}[/-]([0-9]{2}|[0-9]{4})') then year_of || '-' || t[4:5] || '-' || t[1:2]
+      when m <> '' then year_of || '-' || lpad(cast(list_position(['ene', 'feb', 'mar', 'abr', 'may', 'jun', 'jul', 'ago', 'sep', 'oct', 'nov', 'dic'], replace(m, 'set', 'sep')) as varchar), 2, '0') || '-' || lpad(regexp_extract(t, '^[0-9]+'), 2, '0')
+      end as date) fecha
+  from (select *, regexp_extract(t, '^[0-9]{1,2}[ .-]?([a-z]{3})[ .-]?(?:[0-9]{4}|[0-9]{2})$', 1) m,
+      case when regexp_full_match(t, '.*[^0-9][0-9]{4}') then right(t, 4) when right(t, 2) >= '90' then '19' || right(t, 2) else '20' || right(t, 2) end year_of
+    from (select num_linea, lower(trim(_c0)) t, lower(trim(pd04709xd)) v from embig)))"""
+Q_RISK = f"{Q_SERIES}, risk as (select fecha, max(embig) embig from series where fecha is not null group by 1)"
+Q_MACRO = f"{Q_FX}, {Q_RISK}, macro as (select * from fx full outer join risk using (fecha))"
 Q_BRIDGE = f"""bridge as (
   select {RUC.format('ruc')} ruc, {T.format('nemonico_valor')} nemonico_valor, min(razon_social) razon_social, min(codigo_isin) codigo_isin, min(denominacion_valor) denominacion_valor,
     min(tipo_valor) tipo_valor, min(moneda) moneda, min(fecha_inscripcion) fecha_inscripcion, min(resolucion_inscripcion) resolucion_inscripcion
@@ -79,28 +87,31 @@ def query(sql: str | None = None):
 
 # --- products -------------------------------------------------------------------------------------------------------
 
-_G1 = """select fecha_cotizacion fecha, valor nemonico, cierre_actual cierre, maxima_actual maximo, minima_actual minimo, monto_negociado,
+_G1 = """select fecha_cotizacion fecha, valor nemonico, cierre_actual precio_cierre, maxima_actual precio_maximo, minima_actual precio_minimo,
+  cierre_anterior, apertura_actual, promedio_actual, monto_negociado, anio, mes, num_registro, descripcion, fuente, fecha_ingesta,
   cierre_actual - p variacion_precio, case when p > 0 then 100 * (cierre_actual - p) / p end retorno_diario_pct, maxima_actual - minima_actual rango_intradia,
   case when minima_actual > 0 then 100 * (maxima_actual - minima_actual) / minima_actual end rango_intradia_pct, tipo_cambio, embig
-from (select *, lag(cierre_actual) over (partition by valor order by fecha_cotizacion) p from parts) left join macro on fecha = fecha_cotizacion"""
+from (select *, lag(cierre_actual) over (partition by valor order by fecha_cotizacion) p from quotes) left join macro on fecha = fecha_cotizacion"""
 
 
-@query(f"with {Q_PARTS}, {Q_FX}, {Q_RISK}, macro as (select * from fx full outer join risk using (fecha)) {_G1}")
+@query(f"with {Q_QUOTES}, {Q_MACRO} {_G1}")
 def g1_mercado_valor_diario(spark, root):
-    return gold.market_daily(views.parts_as_quotes(spark, root), gold.macro(views.fx(spark, root), views.risk(spark, root)))
+    return gold.market_daily(views.quotes(spark, root, views.PASSED_ON), views.macro(spark, root))
 
 
-@query(f"with {Q_PARTS}, {Q_FX}, {Q_RISK}, macro as (select * from fx join risk using (fecha)) {_G1}")
+@query(f"with {Q_QUOTES}, {Q_FX}, {Q_RISK}, macro as (select * from fx join risk using (fecha)) {_G1}")
 def g1_publicado(spark, root):
-    return gold.market_daily(views.parts_as_quotes(spark, root), gold.macro(views.fx(spark, root), views.risk(spark, root), corrected=False))
+    return gold.market_daily(views.quotes(spark, root, views.PASSED_ON), views.macro(spark, root, corrected=False))
 
 
 @query(
-    """with b as (select cast(l_shipdate as date) fecha_negociacion, l_suppkey codigo_sab,
-  cast(coalesce(sum(case when l_returnflag = 'R' then cast(l_extendedprice as decimal(18,2)) end), 0) as double) monto_compras,
-  cast(coalesce(sum(case when l_returnflag <> 'R' then cast(l_extendedprice as decimal(18,2)) end), 0) as double) monto_ventas,
-  cast(sum(cast(l_extendedprice as decimal(18,2))) as double) monto_total from lineitem group by 1, 2)
-select *, dense_rank() over (partition by fecha_negociacion order by monto_total desc nulls last) ranking_sab_dia_por_monto from b"""
+    """with b as (select cast(l_shipdate as date) fecha, l_suppkey codigo_sab,
+  coalesce(sum(cast(l_extendedprice as decimal(18,2))) filter (l_returnflag = 'R'), 0) c, coalesce(sum(cast(l_extendedprice as decimal(18,2))) filter (l_returnflag <> 'R'), 0) v,
+  sum(cast(l_extendedprice as decimal(18,2))) t from lineitem group by 1, 2),
+d as (select fecha, sum(c) dc, sum(v) dv, sum(t) dt from b group by 1)
+select b.fecha, codigo_sab, s_name sociedad_agente_bolsa, c::double monto_compras, v::double monto_ventas, t::double monto_total, round(100 * c::double / nullif(dc, 0)::double, 6) porcentaje_compras,
+  round(100 * v::double / nullif(dv, 0)::double, 6) porcentaje_ventas, round(100 * t::double / nullif(dt, 0)::double, 6) porcentaje_total, dense_rank() over (partition by b.fecha order by t desc nulls last) ranking_sab_dia_por_monto
+from b join d on d.fecha = b.fecha left join supplier on s_suppkey = codigo_sab"""
 )
 def g2_actividad_sab_diaria(spark, root):
     return gold.broker_daily(views.brokers(spark, root))
@@ -123,12 +134,12 @@ def g3_empresa_trimestre(spark, root):
 
 
 @query(
-    f"""with {Q_QUOTES}, {Q_BRIDGE}, {Q_FILINGS}, {Q_MARKET},
+    f"""with {Q_QUOTES}, {Q_BRIDGE}, {Q_FILINGS}, {Q_MARKET.replace("stddev_samp(x)", "stddev_samp(q.cierre_actual)")},
 one as (select * from filings where ruc is not null qualify row_number() over (partition by ruc, ejercicio, trimestre order by fecha_registro desc nulls last, id_registro desc) = 1)
 select {_G3_COLS} from one f left join market m on m.ruc = f.ruc and m.ejercicio = f.ejercicio and m.trimestre = f.trimestre"""
 )
 def g3_publicado(spark, root):
-    return _g3(gold.company_quarter_published(views.filings(spark, root), gold.quarterly_market(views.quotes(spark, root), views.bridge(spark, root)), "fecha_registro", "id_registro"))
+    return _g3(gold.company_quarter_published(views.filings(spark, root), gold.quarterly_market(views.quotes(spark, root), views.bridge(spark, root), corrected=False), "fecha_registro", "id_registro"))
 
 
 @query(
@@ -189,7 +200,7 @@ def g5_impacto_previo_siguiente(spark, root):
 
 @query(f"with {Q_QUOTES} select * from quotes")
 def s_cotizaciones(spark, root):
-    return views.quotes(spark, root)
+    return views.quotes(spark, root, views.PASSED_ON)
 
 
 @query(f"with {Q_BRIDGE} select * from bridge where ruc is not null and nemonico_valor is not null")
@@ -197,25 +208,15 @@ def s_puente(spark, root):
     return views.bridge(spark, root)
 
 
-_MONTHS = " ".join(f"when '{m}' then {n}" for m, n in tx.MONTHS.items())
-
-
-@query(
-    f"""with s as (select num_linea, lower(trim(_c0)) t, lower(trim(pd04709xd)) v from embig),
-d as (select num_linea, v, case when regexp_full_match(t, '[0-9]{{2}}[a-z]{{3}}[0-9]{{2}}') then
-  try_cast((case when substr(t, 6, 2) >= '90' then '19' else '20' end || substr(t, 6, 2) || '-' || lpad(cast(case substr(t, 3, 3) {_MONTHS} end as varchar), 2, '0') || '-' || substr(t, 1, 2)) as date) end fecha from s)
-select num_linea, fecha, case when v not in ('n.d.', '') then try_cast(replace(v, ',', '.') as double) end embig, year(fecha) anio, month(fecha) mes from d where fecha is not null"""
-)
+@query(f"with {Q_SERIES} select num_linea, fecha, embig, year(fecha) anio, month(fecha) mes from series where fecha is not null")
 def s_serie_riesgo(spark, root):
-    s = table(spark, root, "embig")
-    d = tx.series_date(s["_c0"])
-    return s.select("num_linea", d.alias("fecha"), tx.series_number(s["pd04709xd"]).alias("embig"), F.year(d).alias("anio"), F.month(d).alias("mes")).where("fecha is not null")
+    return views.risk_series(spark, root)
 
 
 @query(
     f"""select id_registro, {RUC.format('ruc')} is not null ruc_valido, {QUARTER.format('trimestre')} trimestre_num,
 (case when contains(lower(trimestre), '1er') then 1 when contains(lower(trimestre), '2do') then 2 when contains(lower(trimestre), '3er') then 3 when contains(lower(trimestre), '4to') then 4 end)::double trimestre_etiqueta,
-sha256(coalesce(ruc, '') || '||' || coalesce(cast(ejercicio as varchar), '') || '||' || coalesce(trimestre, '') || '||' || coalesce(tipo_informacion, '') || '||' || coalesce(moneda, '')) clave,
+sha256(coalesce(ruc, '<NULL>') || '||' || coalesce(cast(ejercicio as varchar), '<NULL>') || '||' || coalesce(trimestre, '<NULL>') || '||' || coalesce(tipo_informacion, '<NULL>') || '||' || coalesce(moneda, '<NULL>')) clave,
 ruc || '|' || cast(ejercicio as varchar) || '|' || trimestre clave_pegada, concat_ws('|', ruc, ejercicio, trimestre) clave_sin_nulos
 from principales_cuentas"""
 )
@@ -231,13 +232,12 @@ def s_claves_cuentas(spark, root):
 
 
 @query(
-    """select id_registro, count(*) over (partition by clave_negocio) cantidad_clave_negocio, count(*) over (partition by clave_negocio) > 1 colision_clave_negocio
-from principales_cuentas where clave_negocio is not null"""
+    """select id_registro, case when clave_negocio is not null then count(*) over (partition by clave_negocio) end::double cantidad_clave_negocio,
+clave_negocio is not null and count(*) over (partition by clave_negocio) > 1 colision_clave_negocio from principales_cuentas"""
 )
 def s_colisiones(spark, root):
-    f = table(spark, root, "principales_cuentas").where("clave_negocio is not null").select("id_registro", "clave_negocio")
-    n = f.groupBy("clave_negocio").agg(F.count(F.lit(1)).alias("cantidad_clave_negocio"))
-    return f.join(n, "clave_negocio").select("id_registro", "cantidad_clave_negocio", (F.col("cantidad_clave_negocio") > 1).alias("colision_clave_negocio"))
+    f = delta.with_collisions(table(spark, root, "principales_cuentas").select("id_registro", "clave_negocio"), "clave_negocio")
+    return f.select("id_registro", F.col("cantidad_clave_negocio").cast("double").alias("cantidad_clave_negocio"), "colision_clave_negocio")
 
 
 @query(
@@ -352,7 +352,7 @@ def ag_retorno_medio_diario(spark, root):
 
 @query(f"with {Q_FX}, {Q_RISK} select round(corr(tipo_cambio, embig), 6) correlacion, count(*) fechas from fx join risk using (fecha) where tipo_cambio is not null")
 def ag_correlacion_macro(spark, root):
-    return gold.macro(views.fx(spark, root), views.risk(spark, root), corrected=False).where("tipo_cambio is not null").agg(F.round(F.corr("tipo_cambio", "embig"), 6).alias("correlacion"), F.count(F.lit(1)).alias("fechas"))
+    return views.macro(spark, root, corrected=False).where("tipo_cambio is not null").agg(F.round(F.corr("tipo_cambio", "embig"), 6).alias("correlacion"), F.count(F.lit(1)).alias("fechas"))
 
 
 @query(
@@ -362,7 +362,7 @@ from (select case when p > 0 then 100 * (cierre_actual - p) / p end x from (sele
 def ag_percentil_retorno(spark, root):
     w = Window.partitionBy("valor").orderBy("fecha_cotizacion")
     x = F.abs(tx.percent_change(F.col("cierre_actual"), F.lag("cierre_actual").over(w)))
-    return views.quotes(spark, root).select(x.alias("x")).agg(F.percentile("x", 0.75).alias("p75"), F.count("x").alias("n"))
+    return audit.exact_quantile(views.quotes(spark, root).select(x.alias("x")), "x", 0.75).select(F.col("cuantil").alias("p75"), "n")
 
 
 @query("select tipo_hecho, tipo_empresa, count(*) filas, count(distinct numero_expediente) casos from eventos group by all")
@@ -467,7 +467,8 @@ def dq_nulos(spark, root):
 
 
 @query(
-    "select 'ciiu' columna, count(*) filter (ciiu is not null and try_cast(trim(ciiu) as int) is null) no_convertibles from principales_cuentas union all select 'ruc', count(*) filter (ruc is not null and try_cast(trim(ruc) as bigint) is null and not contains(ruc, '.')) + count(*) filter (contains(ruc, '.')) from principales_cuentas"
+    r"""select 'ciiu' columna, count(*) filter (ciiu is not null and not regexp_full_match(trim(ciiu), '[+-]?[0-9]+')) no_convertibles from principales_cuentas
+union all select 'ruc', count(*) filter (ruc is not null and not regexp_full_match(trim(ruc), '[+-]?[0-9]+')) from principales_cuentas"""
 )
 def dq_convertibles(spark, root):
     return audit.castability(table(spark, root, "principales_cuentas"), {"ciiu": "int", "ruc": "bigint"})
@@ -483,18 +484,22 @@ def dq_tamano_grupos(spark, root):
     return audit.group_size_histogram(views.filings(spark, root).where("ruc is not null"), ["ruc", "ejercicio", "trimestre_num"])
 
 
-@query(f"select {T.format('nemonico_valor')} nemonico, count(distinct {RUC.format('ruc')}) n from puente_ruc_nemonico where nemonico_valor is not null group by 1 having n > 1")
-def dq_nemonico_varias_empresas(spark, root):
-    p = table(spark, root, "puente_ruc_nemonico").select(ticker(F.col("nemonico_valor")).alias("nemonico"), company_id(F.col("ruc")).alias("ruc"))
-    return audit.many_to_one_violations(p, "nemonico", "ruc")
+@query(f"select rpj, count(distinct {RUC.format('ruc')}) n from principales_cuentas where rpj is not null group by 1 having n > 1")
+def dq_registro_varias_empresas(spark, root):
+    p = table(spark, root, "principales_cuentas").select("rpj", company_id(F.col("ruc")).alias("ruc"))
+    return audit.many_to_one_violations(p, "rpj", "ruc")
 
 
 _ATTR = ["razon_social", "codigo_isin", "tipo_valor", "moneda", "fecha_inscripcion"]
 
 
-@query(f"select ruc, nemonico_valor, {', '.join(f'count(distinct {a}) {a}' for a in _ATTR)} from puente_ruc_nemonico group by all having {' or '.join(f'count(distinct {a}) > 1' for a in _ATTR)}")
-def dq_atributos_puente(spark, root):
-    return audit.inconsistent_attributes(table(spark, root, "puente_ruc_nemonico"), ["ruc", "nemonico_valor"], _ATTR)
+_NAMES = ["nombre_empresa", "tipo_sector", "rpj", "ciiu"]
+
+
+@query(f"select {RUC.format('ruc')} ruc, {', '.join(f'count(distinct {a}) {a}' for a in _NAMES)} from principales_cuentas p group by {RUC.format('p.ruc')} having {' or '.join(f'count(distinct {a}) > 1' for a in _NAMES)}")
+def dq_atributos_empresa(spark, root):
+    f = table(spark, root, "principales_cuentas")
+    return audit.inconsistent_attributes(f.select(company_id(f["ruc"]).alias("ruc"), *_NAMES), ["ruc"], _NAMES)
 
 
 @query(
@@ -537,11 +542,11 @@ def dq_cobertura_por_anio(spark, root):
 
 
 @query(
-    f"""with {Q_PARTS}, {Q_FX}, d as (select distinct fecha_cotizacion f from parts)
+    f"""with {Q_QUOTES}, {Q_FX}, d as (select distinct fecha_cotizacion f from quotes)
 select count(*) fechas, count(fecha) con_fecha, count(tipo_cambio) con_valor from d left join fx on fecha = f"""
 )
 def dq_cobertura_temporal(spark, root):
-    d = views.parts_as_quotes(spark, root).select(F.col("fecha_cotizacion").alias("f")).distinct()
+    d = views.quotes(spark, root).select(F.col("fecha_cotizacion").alias("f")).distinct()
     m = views.fx(spark, root)
     return d.join(m, d["f"] == m["fecha"], "left").agg(F.count(F.lit(1)).alias("fechas"), F.count("fecha").alias("con_fecha"), F.count("tipo_cambio").alias("con_valor"))
 
@@ -572,21 +577,23 @@ def dq_resumen(spark, root):
 
 
 @query(
-    f"""with {Q_PARTS}, {Q_FX}, {Q_RISK},
+    f"""with {Q_QUOTES}, {Q_MACRO},
 r as (select valor, fecha_cotizacion fecha, 100 * (cierre_actual - p) / p retorno_pct, case when minima_actual > 0 then 100 * (maxima_actual - minima_actual) / minima_actual end rango_pct,
-  ln(1 + greatest(coalesce(monto_negociado, 0), 0)) log_monto from (select *, lag(cierre_actual) over (partition by valor order by fecha_cotizacion) p from parts) where p > 0)
+  ln(1 + greatest(coalesce(monto_negociado, 0), 0)) log_monto from (select *, lag(cierre_actual) over (partition by valor order by fecha_cotizacion) p from quotes) where p > 0)
 select fecha, valor, retorno_pct, rango_pct, round(log_monto, 9) log_monto, abs(lead(retorno_pct) over (partition by valor order by fecha)) retorno_siguiente_abs, tipo_cambio, embig
-from r left join (select * from fx full outer join risk using (fecha)) using (fecha)"""
+from r left join macro using (fecha)"""
 )
 def ml_variables(spark, root):
-    return model.features(views.parts_as_quotes(spark, root), gold.macro(views.fx(spark, root), views.risk(spark, root))).withColumn("log_monto", F.round("log_monto", 9))
+    return model.features(views.quotes(spark, root), views.macro(spark, root)).withColumn("log_monto", F.round("log_monto", 9))
 
 
 @query()
 def ml_evaluacion(spark, root):
     """Metrics of the trained baseline; iterative, so rows only are compared."""
-    f = model.train(model.features(views.parts_as_quotes(spark, root), gold.macro(views.fx(spark, root), views.risk(spark, root))), 1999, 2000)
-    return spark.createDataFrame([(k, float(v)) for k, v in {**f.metrics, "umbral": f.threshold}.items()], "medida string, valor double")
+    f = model.train(model.features(views.quotes(spark, root), views.macro(spark, root)), 2024, 2025)
+    base = model.majority_share(f.scored, F.col("label")).withColumnRenamed("acierto_mayoria", "valor").select(F.lit("acierto_mayoria").alias("medida"), "valor")
+    cells = f.confusion.select(F.concat_ws("_", F.lit("casos"), F.col("label").cast("int"), F.col("prediction").cast("int")).alias("medida"), F.col("filas").cast("double").alias("valor"))
+    return spark.createDataFrame([(k, float(v)) for k, v in {**f.metrics, "umbral": f.threshold}.items()], "medida string, valor double").unionByName(base).unionByName(cells)
 
 
 @query(
@@ -595,7 +602,7 @@ select replica, count(*) filas, count(retorno_pct) retornos, cast(sum(cast(monto
   select *, case when cierre_anterior <> 0 then 100 * (cierre_actual - cierre_anterior) / cierre_anterior end retorno_pct from quotes, z) group by 1"""
 )
 def bm_escala_10(spark, root):
-    m = gold.macro(views.fx(spark, root), views.risk(spark, root))
+    m = views.macro(spark, root)
     t = scale.scale_table(views.quotes(spark, root), m.select("fecha", "tipo_cambio"), m.select("fecha", "embig"), 10)
     return t.groupBy("replica").agg(F.count(F.lit(1)).alias("filas"), F.count("retorno_pct").alias("retornos"), F.sum(F.col("monto_negociado").cast("decimal(20,2)")).cast("double").alias("monto"))
 
