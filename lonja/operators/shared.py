@@ -55,24 +55,43 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df) else df
 
 
-def previous_rows(df: DataFrame, group: list[str], order: str, ties: list[str], payload: Column, out: str, bucket_of: Column) -> DataFrame:
-    """Adds ``out``: ``payload`` of the row before, by (``order``, ``ties``), within ``group``; NULL for a group's first row.
+def ranged(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` stored in ranges of ``columns`` (NULLs first), with the number of a row's range in ``__run``."""
+    return kept(df.repartitionByRange(*(F.col(c).asc_nulls_first() for c in columns)).withColumn("__run", F.spark_partition_id()))
 
-    A group may hold any share of the rows, so it is not sorted in one task: ``bucket_of`` cuts it into runs of its
-    order (it must not decrease along the order). The predecessor of a run's first row is the last row of the run
-    before, looked up among one row per run. ``order`` may be NULL; such rows come first.
-    """
-    first = [F.col(order).asc_nulls_first(), *(F.col(t).asc_nulls_first() for t in ties)]
-    runs = df.withColumn("__run", F.coalesce(bucket_of.cast("long"), F.lit(-(2**62)))).withColumn("__payload", F.struct(payload.alias("v")))
-    w = Window.partitionBy(*group, "__run").orderBy(*first)
-    inner = runs.withColumn("__prev", F.lag("__payload").over(w))
-    key = F.struct(*(F.struct(F.col(c).isNotNull(), F.col(c)) for c in [order, *ties]))
-    last = runs.groupBy(*group, "__run").agg(F.max_by("__payload", key).alias("__last"))
-    before = last.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("__run").alias("__r"), F.lag("__last").over(Window.partitionBy(*group).orderBy("__run")).alias("__before"))
-    on = (F.col("__run") == F.col("__r"))
+
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds ``out``: 1, 2, ... in ``order`` within ``group``. A group is numbered over as many tasks as its ranges fill."""
+    runs = ranged(df, [*group, *order])
+    own = F.row_number().over(Window.partitionBy(*group, "__run").orderBy(*(F.col(c).asc_nulls_first() for c in order)))
+    before = Window.partitionBy(*(f"__g{i}" for i in range(len(group)))).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = runs.groupBy(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("__run").alias("__r")).agg(F.count(F.lit(1)).alias("__n"))
+    shifts = sizes.withColumn("__shift", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    return _by_range(runs.withColumn(out, own), shifts, group).withColumn(out, F.col(out) + F.col("__shift")).drop("__run", "__r", "__n", "__shift", *(f"__g{i}" for i in range(len(group))))
+
+
+def _by_range(runs: DataFrame, per: DataFrame, group: list[str]) -> DataFrame:
+    """``runs`` with the row of ``per`` (one per group and range) that belongs to its range."""
+    on = F.col("__run") == F.col("__r")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    joined = inner.join(before, on, "left")
+    return runs.join(per, on, "left")
+
+
+def previous_rows(df: DataFrame, group: list[str], order: str, ties: list[str], payload: Column, out: str) -> DataFrame:
+    """Adds ``out``: ``payload`` of the row before, by (``order``, ``ties``), within ``group``; NULL for a group's first row.
+
+    A group may hold any share of the rows, so it is not sorted in one task: the rows lie in ranges of group and order,
+    and the predecessor of a range's first row is the last row of the group's range before, looked up among one row per
+    range. ``order`` may be NULL, and equal for all rows; NULLs come first.
+    """
+    keys = [order, *ties]
+    runs = ranged(df, [*group, *keys]).withColumn("__payload", F.struct(payload.alias("v")))
+    w = Window.partitionBy(*group, "__run").orderBy(*(F.col(c).asc_nulls_first() for c in keys))
+    key = F.struct(*(F.struct(F.col(c).isNotNull(), F.col(c)) for c in keys))
+    last = runs.groupBy(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("__run").alias("__r")).agg(F.max_by("__payload", key).alias("__last"))
+    before = last.withColumn("__before", F.lag("__last").over(Window.partitionBy(*(f"__g{i}" for i in range(len(group)))).orderBy("__r"))).drop("__last")
+    joined = _by_range(runs.withColumn("__prev", F.lag("__payload").over(w)), before, group)
     return joined.withColumn(out, F.coalesce("__prev", "__before")["v"]).drop("__run", "__payload", "__prev", "__before", "__r", *(f"__g{i}" for i in range(len(group))))
 
 

@@ -9,7 +9,7 @@ from lonja.functions.keys import company_id, ticker
 from lonja.operators import compare_copies as cc
 from lonja.operators import references as rf
 from lonja.operators import rolling, schema_drift, timestamps
-from lonja.operators.shared import small
+from lonja.operators.shared import kept, small
 from lonja.sources import table
 from lonja.sql import SQL  # noqa: F401
 
@@ -47,30 +47,45 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "archivos_crudos")
 
 
-def p2_schemas(spark: SparkSession, root: str) -> DataFrame:
-    s = schema_drift.file_schemas(_files(spark, root), "id_archivo", "fuente", "canal", "secuencia", "fecha_recepcion", "contenido")
-    return s.select("id_archivo", "canal", "secuencia", "nombre_arreglo", F.size("campos").alias("n_campos"), F.array_join(F.transform("campos", lambda x: F.concat_ws(":", x["nombre"], x["tipo"])), ",").alias("campos"), "huella")
+_P2 = ("id_archivo", "fuente", "canal", "secuencia", "fecha_recepcion", "contenido")
+
+
+def _schemas(spark: SparkSession, root: str) -> DataFrame:
+    return schema_drift.file_schemas(_files(spark, root), *_P2)
 
 
-def p2_changes(spark: SparkSession, root: str) -> DataFrame:
-    s = schema_drift.file_schemas(_files(spark, root), "id_archivo", "fuente", "canal", "secuencia", "fecha_recepcion", "contenido")
-    return schema_drift.schema_changes(s, "id_archivo", "canal", "secuencia", "fecha_recepcion").withColumnRenamed("id", "id_archivo")
+def _changes(schemas: DataFrame) -> DataFrame:
+    return schema_drift.schema_changes(schemas, "id_archivo", "canal", "secuencia", "fecha_recepcion")
+
+
+def p2_schemas(spark: SparkSession, root: str) -> DataFrame:
+    fields = F.array_join(F.transform("campos", lambda x: F.concat_ws(":", x["nombre"], x["tipo"])), ",")
+    return _schemas(spark, root).select("id_archivo", "canal", "secuencia", "nombre_arreglo", F.size("campos").alias("n_campos"), fields.alias("campos"), "huella")
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return p2_changes(spark, root).select("id_archivo", "campo", "cambio").distinct()
+    return _changes(_schemas(spark, root)).select(F.col("id").alias("id_archivo"), "campo", "cambio").distinct()
 
 
-def p2_cotizaciones(spark: SparkSession, root: str) -> DataFrame:
-    return _flat(schema_drift.consistent_table(_files(spark, root), "cotizaciones", "id_archivo", "fuente", "canal", "secuencia", "contenido"))
+def p2_migraciones(spark: SparkSession, root: str) -> DataFrame:
+    """The registry: a row per version of a source and migration step."""
+    s = kept(_schemas(spark, root))
+    r = schema_drift.registry(s, _changes(s), "id_archivo", "fuente", "fecha_recepcion")
+    return r.select("fuente", "version", "archivos", "nombre_arreglo", "huella", F.explode("pasos").alias("p")).select("fuente", "version", "archivos", "nombre_arreglo", "huella", "p.*")
 
 
-def p2_principales_cuentas(spark: SparkSession, root: str) -> DataFrame:
-    return _flat(schema_drift.consistent_table(_files(spark, root), "principales_cuentas", "id_archivo", "fuente", "canal", "secuencia", "contenido"))
+def _consistent(spark: SparkSession, root: str, which: str) -> DataFrame:
+    df = schema_drift.consistent_table(_files(spark, root), which, *_P2)
+    pairs = F.array_sort(F.transform(F.map_entries("otros"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return df.withColumn("no_convertidos", F.array_join("no_convertidos", ",")).withColumn("otros", F.array_join(pairs, ";"))
+
+
+def p2_cotizaciones(spark: SparkSession, root: str) -> DataFrame:
+    return _consistent(spark, root, "cotizaciones")
 
 
-def _flat(df: DataFrame) -> DataFrame:
-    return df.withColumn("no_convertidos", F.array_join("no_convertidos", ",")).withColumn("otros", F.to_json("otros"))
+def p2_principales_cuentas(spark: SparkSession, root: str) -> DataFrame:
+    return _consistent(spark, root, "principales_cuentas")
 
 
 def p3_times(spark: SparkSession, root: str) -> DataFrame:
@@ -128,4 +143,4 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return p5_differences(spark, root).select("id_fila", "campo").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_schemas, p2_cotizaciones, p2_principales_cuentas, p3_found, p4_found, p4_report, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_schemas, p2_migraciones, p2_cotizaciones, p2_principales_cuentas, p3_found, p4_found, p4_report, p5_found)}

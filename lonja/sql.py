@@ -2,8 +2,48 @@
 
 from __future__ import annotations
 
-from lonja.operators.schema_drift import RULES
-from lonja.operators.timestamps import ABBREVIATIONS, MONTHS, PIVOT
+#: Minutes east of UTC of zone abbreviations, and months by three letters. Fixed values, stated apart from the operators'.
+_ZONES = "Z 0, UTC 0, GMT 0, UT 0, WET 0, WEST 60, CET 60, CEST 120, EST -300, EDT -240, CST -360, CDT -300, MST -420, MDT -360, PST -480, PDT -420, PET -300, COT -300"
+_MONTH_NAMES = "ene 1, jan 1, feb 2, mar 3, abr 4, apr 4, may 5, jun 6, jul 7, ago 8, aug 8, set 9, sep 9, oct 10, nov 11, dic 12, dec 12"
+#: The fields of each source: name, type, and the spellings without case and punctuation. Fixed values.
+_FIELDS = {
+    "cotizaciones": """
+fecha_cotizacion date fechacotizacion fecha fechasesion
+valor text valor nemonico nemonicovalor codigovalor
+descripcion text descripcion nombrevalor denominacionvalor
+apertura_actual number aperturaactual apertura precioapertura
+cierre_actual number cierreactual cierre preciocierre ultimo
+cierre_anterior number cierreanterior
+maxima_actual number maximaactual maxima
+minima_actual number minimaactual minima
+promedio_actual number promedioactual promedio
+monto_negociado number montonegociado monto importenegociado
+numero_operaciones number numerooperaciones nrooperaciones operaciones
+codigo_isin text codigoisin isin
+segmento text segmento
+en_subasta boolean ensubasta""",
+    "principales_cuentas": """
+ruc text ruc numeroruc nroruc rucempresa
+nombre_empresa text nombreempresa razonsocial
+ejercicio number ejercicio anioejercicio anio
+trimestre text trimestre numerotrimestre periodo
+moneda text moneda tipomoneda
+ciiu text ciiu codigociiu
+tipo_sector text tiposector sector
+activo_total number activototal totalactivo
+pasivo_total number pasivototal totalpasivo
+patrimonio_total number patrimoniototal totalpatrimonio
+total_ingreso number totalingreso ingresototal totalingresos
+utilidad_neta number utilidadneta resultadoneto
+numero_empleados number numeroempleados nroempleados
+auditor text auditor
+consolidado boolean consolidado""",
+}
+
+
+def _pairs(text: str) -> list[list[str]]:
+    return [x.split() for x in text.split(", ")]
+
 
 _TICKER = "upper(trim({}))"
 _RUC = r"regexp_replace(regexp_replace({}, '[.,]0*\s*$', ''), '[^0-9]', '', 'g')"
@@ -73,22 +113,20 @@ union select id_fila, 'cierre_actual' from j where (ac is null) <> (bc is null)
 union select id_fila, 'monto_negociado' from j where (am is null) <> (bm is null) or abs(am - bm) > 0.005"""
 
 
+_LINES = {source: [line.split() for line in text.strip().splitlines()] for source, text in _FIELDS.items()}
+_VALUES = ", ".join(f"('{source}', '{plain}', '{line[0]}', '{line[1]}')" for source, lines in _LINES.items() for line in lines for plain in line[2:])
 
-def _plain(name: str) -> str:
-    return "".join(c for c in name.lower() if c.isalnum())
-
-
-_SPELLINGS = sorted({(s, _plain(n), f.name) for s, fields in RULES.items() for f in fields for n in f.names})
-_VALUES = ", ".join(f"('{s}', '{n}', '{d}')" for s, n, d in _SPELLINGS)
-
-P2_FOUND = f"""with rules(fuente, plano, dato) as (values {_VALUES}),
+_P2 = f"""rules(fuente, plano, dato, clase) as (values {_VALUES}),
 arr as (select id_archivo, fuente, canal, secuencia, e.key arreglo, e.value registros from archivos_crudos, json_each(contenido) e where e.type = 'ARRAY'),
-rec as (select id_archivo, fuente, r.value registro from arr, json_each(registros) r),
+rec as (select id_archivo, fuente, cast(r.key as int) posicion, r.value registro from arr, json_each(registros) r),
 fields as (
-  select id_archivo, fuente, f.key campo, lower(regexp_replace(f.key, '[^A-Za-z0-9]', '', 'g')) plano,
-    max(case when f.type = 'BOOLEAN' then 'booleano' when f.type = 'VARCHAR' then 'texto' when f.type <> 'NULL' then 'numero' end) tipo
+  select id_archivo, lower(trim(fuente)) fuente, f.key campo, lower(regexp_replace(f.key, '[^A-Za-z0-9]', '', 'g')) plano,
+    string_agg(distinct case when f.type = 'BOOLEAN' then 'booleano' when f.type = 'VARCHAR' then 'texto' when f.type in ('OBJECT', 'ARRAY') then 'anidado' when f.type <> 'NULL' then 'numero' end, '|'
+      order by case when f.type = 'BOOLEAN' then 'booleano' when f.type = 'VARCHAR' then 'texto' when f.type in ('OBJECT', 'ARRAY') then 'anidado' when f.type <> 'NULL' then 'numero' end) tipo
   from rec, json_each(registro) f group by all),
-named as (select f.*, coalesce(r.dato, '?' || plano) dato from fields f left join rules r using (fuente, plano)),
+named as (select f.*, coalesce(r.dato, '?' || plano) dato, clase from fields f left join rules r using (fuente, plano))"""
+
+P2_FOUND = f"""with {_P2},
 files as (select id_archivo, canal, secuencia, arreglo, lag(id_archivo) over w previo, lag(arreglo) over w arreglo_previo from arr window w as (partition by canal order by secuencia)),
 pairs as (
   select f.id_archivo, f.previo, n.campo, n.dato, n.tipo, o.campo viejo, o.tipo tipo_viejo
@@ -101,8 +139,68 @@ union select id_archivo, campo, case when (id_archivo, dato) in (select (id_arch
 union select id_archivo, campo, 'eliminado' from gone where (id_archivo, dato) not in (select (id_archivo, dato) from pairs where viejo is null)
 union select id_archivo, arreglo, 'renombrado' from files where arreglo <> arreglo_previo"""
 
-_MONTH = "case lower({0}[:3]) " + " ".join(f"when '{m}' then {n}" for m, n in MONTHS.items()) + " end"
-_ABBR = "case upper({0}) " + " ".join(f"when '{a}' then {n}" for a, n in ABBREVIATIONS.items()) + " end"
+_PRINTS = """
+prints as (
+  select id_archivo, count(campo) n_campos, coalesce(string_agg(case when tipo is null then campo else campo || ':' || tipo end, ',' order by campo), '') campos,
+    sha256(any_value(arreglo) || coalesce(string_agg(chr(31) || campo || chr(30) || coalesce(tipo, ''), '' order by campo), '')) huella
+  from arr left join fields using (id_archivo) group by 1)"""
+
+P2_SCHEMAS = f"""with {_P2}, {_PRINTS}
+select id_archivo, canal, secuencia, arreglo nombre_arreglo, n_campos, campos, huella from prints join arr using (id_archivo)"""
+
+_VERSIONS = f"""{_PRINTS},
+firsts as (
+  select lower(trim(fuente)) fuente, huella, arreglo nombre_arreglo, count(*) archivos, min(struct_pack(d := fecha_recepcion is not null, r := fecha_recepcion, i := id_archivo)) primero
+  from prints join arr using (id_archivo) join (select id_archivo, fecha_recepcion from archivos_crudos) using (id_archivo) group by all),
+versions as (select *, row_number() over (partition by fuente order by primero, huella) as "version" from firsts)"""
+
+P2_MIGRACIONES = f"""with {_P2}, {_VERSIONS},
+own as (select v.fuente, v."version", archivos, nombre_arreglo, huella, campo, n.dato, clase, tipo from versions v join named n on n.id_archivo = v.primero.i),
+steps as (
+  select fuente, "version", archivos, nombre_arreglo, huella, 1 orden, 'renombrar' accion, campo, dato destino, null tipo, 'regla' origen from own where dato not like '?%'
+  union all select fuente, "version", archivos, nombre_arreglo, huella, 2, 'convertir', campo, dato, clase, tipo from own
+    where clase = 'date' and tipo is not null or tipo <> case clase when 'number' then 'numero' when 'boolean' then 'booleano' else 'texto' end
+  union all select fuente, "version", archivos, nombre_arreglo, huella, 3, 'defecto', null, 'moneda', 'text', 'Soles' from versions v
+    where fuente = 'principales_cuentas' and not exists (from own o where o.fuente = v.fuente and o."version" = v."version" and o.dato = 'moneda')
+  union all select fuente, "version", archivos, nombre_arreglo, huella, 4, 'apartar', campo, 'otros', null, null from own where dato like '?%')
+select * from steps"""
+
+_SQUEEZED = r"regexp_replace(t, '[\s S/$]', '', 'g')"
+_NUMBER = f"""try_cast(case when regexp_full_match({_SQUEEZED}, '[+-]?[0-9]{{1,3}}(,[0-9]{{3}})+([.][0-9]+)?') then replace({_SQUEEZED}, ',', '')
+  when regexp_full_match({_SQUEEZED}, '[+-]?[0-9]{{1,3}}([.][0-9]{{3}})+,[0-9]+|[+-]?[0-9]{{1,3}}([.][0-9]{{3}}){{2,}}') then replace(replace({_SQUEEZED}, '.', ''), ',', '.')
+  when regexp_full_match({_SQUEEZED}, '[+-]?[0-9]+,[0-9]+') then replace({_SQUEEZED}, ',', '.') else {_SQUEEZED} end as double)"""
+_DAY = r"regexp_extract(trim(t), '^(\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d-\d\d-\d{4}|\d{4}/\d\d/\d\d|\d{8})(?:[T ]\d\d?:\d\d.*)?$', 1)"
+_DATE = f"cast(try_strptime({_DAY}, ['%Y-%m-%d', '%d/%m/%Y', '%d-%m-%Y', '%Y/%m/%d', '%Y%m%d']) as date)"
+_BOOL = "case when lower(trim(t)) in ('true', 'si', 'sí', 's', '1', 'verdadero') then true when lower(trim(t)) in ('false', 'no', 'n', '0', 'falso') then false end"
+_OF = {"number": _NUMBER, "date": _DATE, "boolean": _BOOL, "text": "trim(t)"}
+
+
+def _consistent(source: str) -> str:
+    """One table of the source's records: the first filled spelling by name, cast; what is left over aside."""
+    lines = _LINES[source]
+    best = lambda line: f"max(case when dato = '{line[0]}' and r = 1 then {_OF[line[1]]} end)"
+    columns = [f"coalesce({best(line)}, 'Soles') moneda" if line[0] == "moneda" else f"{best(line)} {line[0]}" for line in lines]
+    # the converted value as text tells whether the first spelling was used
+    lost = " ".join(f"when '{line[0]}' then ({_OF[line[1]]}) is null" for line in lines)
+    rank = " ".join(f"when '{line[0]}' then {i}" for i, line in enumerate(lines))
+    return f"""with {_P2}, {_VERSIONS},
+cells as (
+  select rec.id_archivo, posicion, f.key campo, case when f.type in ('VARCHAR') then json_extract_string(f.value, '$') else cast(f.value as varchar) end t, n.dato
+  from rec, json_each(registro) f join named n on n.id_archivo = rec.id_archivo and n.campo = f.key where f.type <> 'NULL'),
+placed as (
+  select *, case when dato like '?%' then 0 else row_number() over (partition by id_archivo, posicion, dato order by campo) end r from cells where trim(t) <> ''),
+judged as (select *, case dato {lost} else true end as aside from placed),
+per as (
+  select id_archivo, posicion, {", ".join(columns)}, coalesce(string_agg(dato, ',' order by case dato {rank} end) filter (r = 1 and aside), '') no_convertidos,
+    coalesce(string_agg(campo || '=' || t, ';' order by campo || '=' || t) filter (aside or r <> 1), '') otros
+  from judged group by 1, 2)
+select rec.id_archivo, a.canal, a.secuencia, v."version", rec.posicion, {", ".join("coalesce(moneda, 'Soles') moneda" if line[0] == "moneda" else line[0] for line in lines)}, coalesce(no_convertidos, '') no_convertidos, coalesce(otros, '') otros
+from rec join arr a using (id_archivo) join prints p using (id_archivo) join versions v on v.huella = p.huella and v.fuente = lower(trim(a.fuente)) left join per using (id_archivo, posicion)
+where lower(trim(rec.fuente)) = '{source}'"""
+
+
+_MONTH = "case lower({0}[:3]) " + " ".join(f"when '{m}' then {n}" for m, n in _pairs(_MONTH_NAMES)) + " end"
+_ABBR = "case upper({0}) " + " ".join(f"when '{a}' then {n}" for a, n in _pairs(_ZONES)) + " end"
 _T = r"(?:[ T](\d\d?):(\d\d)(?::(\d\d)(?:\.(\d+))?)?( ?[aApP]\.? ?[mM]\.?)?)?(?: ?([A-Z]{1,5}(?:[+-]\d\d?)?|[+-]\d\d:?\d\d))?$"
 P3_FOUND = f"""with raw as (
   select 'cotizaciones_bronce' tabla, id_fila, 'fecharegistro' campo, trim(fecharegistro) x, zona_horaria z, orden_fecha = 'MDY' mdy from cotizaciones_bronce left join plazas using (plaza)
@@ -128,7 +226,7 @@ parts as (
 timed as (
   select *, case when ep <> '' then make_timestamp(cast(ep as bigint) * case length(ep) when 10 then 1000000 else 1000 end)
     when (ap is null or h between 1 and 12) and h < 24 and i < 60 and s < 60 then
-      try_cast(lpad(cast(case when length(y) = 2 then cast(y as int) + case when cast(y as int) >= {PIVOT} then 1900 else 2000 end else cast(y as int) end as varchar), 4, '0') || '-' || lpad(cast(m as varchar), 2, '0') || '-' || lpad(cast(d as varchar), 2, '0') as date)
+      try_cast(lpad(cast(case when length(y) = 2 then cast(y as int) + case when cast(y as int) >= 90 then 1900 else 2000 end else cast(y as int) end as varchar), 4, '0') || '-' || lpad(cast(m as varchar), 2, '0') || '-' || lpad(cast(d as varchar), 2, '0') as date)
       + to_hours(case ap when 'am' then h % 12 when 'pm' then h % 12 + 12 else h end) + to_minutes(i) + to_seconds(s) + to_microseconds(cast(f as bigint)) end t,
     case when ep <> '' then 0 when o is not null then coalesce({_ABBR.format('o')}, (case when contains(o, '-') then -1 else 1 end) * (60 * try_cast(regexp_extract(o, '[+-](\\d\\d?)', 1) as int) + coalesce(try_cast(regexp_extract(o, '[+-]\\d\\d:?(\\d\\d)', 1) as int), 0))) end away
   from parts),
@@ -138,4 +236,7 @@ utc as (
 select tabla, id_fila, campo, case when campo = 'fecharegistro' then strftime(u, '%Y-%m-%d %H:%M:%S.%f') else strftime(case when away is not null then timezone(z, timezone('UTC', u)) else t end, '%Y-%m-%d') end instante
 from utc where u is not null"""
 
-SQL = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p1_found": P1_FOUND, "p1_rolling": P1_ROLLING, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p5_found": P5_FOUND}
+SQL = {
+    "p2_schemas": P2_SCHEMAS, "p2_migraciones": P2_MIGRACIONES, "p2_cotizaciones": _consistent("cotizaciones"), "p2_principales_cuentas": _consistent("principales_cuentas"),
+    "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p1_found": P1_FOUND, "p1_rolling": P1_ROLLING, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p5_found": P5_FOUND,
+}

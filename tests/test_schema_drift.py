@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lonja.operators import schema_drift as sd
 
+KEYS = ("id_archivo", "fuente", "canal", "secuencia", "fecha_recepcion", "contenido")
 SCHEMA = "id_archivo string, fuente string, canal string, secuencia int, fecha_recepcion timestamp, contenido string, campos int, key string"
 
 
@@ -46,18 +47,49 @@ def test_broken_empty_null_bare_and_gaps(spark):
     assert changes(spark, []) == set() and changes(spark, [env({"Valor": "A"})]) == set()
 
 
-def test_long_channel_is_cut_into_runs(spark):
+def test_long_channel_is_cut_into_ranges(spark):
     names = ["Valor", "valor"]
-    got = changes(spark, [env({names[i // 3 % 2]: "A"}) for i in range(2 * sd.RUN + 10)])
-    want = {(f"C{i + 1}", names[i // 3 % 2], "renombrado") for i in range(3, 2 * sd.RUN + 10, 3)}
-    assert got == want
+    got = changes(spark, [env({names[i // 3 % 2]: "A"}) for i in range(1000)])
+    assert got == {(f"C{i + 1}", names[i // 3 % 2], "renombrado") for i in range(3, 1000, 3)}
+
+
+def test_channel_without_order(spark):
+    """Files without a number follow each other by receipt, then id; they are put in order over several tasks too."""
+    names = ["Valor", "valor"]
+    rows = [(f"C{i:04}", "cotizaciones", "C", None, None, json.dumps(env({names[i % 2]: "A"})), 0, "k") for i in range(300)]
+    s = sd.file_schemas(spark.createDataFrame(rows, SCHEMA).repartition(7), *KEYS)
+    assert sd.schema_changes(s, *KEYS[:1], "canal", "secuencia", "fecha_recepcion").count() == 299
+
+
+def consistent(spark, contents):
+    return sd.consistent_table(files(spark, contents), "cotizaciones", *KEYS).orderBy("secuencia", "posicion").collect()
 
 
 def test_consistent_table(spark):
-    df = files(spark, [env({"Fecha": "14/02/2021", "Valor": " A ", "Monto": "1,234.50", "EnSubasta": "sí", "Raro": 7}, {"FechaCotizacion": "2021-02-15", "valor": None, "Monto_Negociado": 3, "Cierre_Actual": "x"})])
-    a, b = sd.consistent_table(df, "cotizaciones", "id_archivo", "fuente", "canal", "secuencia", "contenido").orderBy("posicion").collect()
-    assert (str(a["fecha_cotizacion"]), a["valor"], a["monto_negociado"], a["en_subasta"], a["otros"]) == ("2021-02-14", "A", 1234.5, True, {"Raro": "7"})
-    assert (str(b["fecha_cotizacion"]), b["valor"], b["monto_negociado"], b["no_convertidos"]) == ("2021-02-15", None, 3.0, ["cierre_actual"])
+    a, b, c = consistent(spark, [
+        env({"Fecha": "14/02/2021", "Valor": " A ", "Monto": "1,234.50", "EnSubasta": "sí", "Raro": 7}, {"FechaCotizacion": "2021-02-15", "valor": None, "Monto_Negociado": 3, "Cierre_Actual": "x"}),
+        env({"Valor": "B", "Monto": 1, "Monto_Negociado": 2, "Fecha": "2021-02-15 y algo", "Descripcion": ""}),
+    ])
+    assert (str(a["fecha_cotizacion"]), a["valor"], a["monto_negociado"], a["en_subasta"], a["otros"], a["version"]) == ("2021-02-14", "A", 1234.5, True, {"Raro": "7"}, 1)
+    assert (str(b["fecha_cotizacion"]), b["valor"], b["monto_negociado"], b["no_convertidos"], b["otros"]) == ("2021-02-15", None, 3.0, ["cierre_actual"], {"Cierre_Actual": "x"})
+    assert (c["monto_negociado"], c["fecha_cotizacion"], c["no_convertidos"], c["otros"], c["version"]) == (1.0, None, ["fecha_cotizacion"], {"Monto_Negociado": "2", "Fecha": "2021-02-15 y algo"}, 2)
+    assert consistent(spark, []) == []
+
+
+def test_spellings_outside_the_rules_reach_their_column_by_what_they_replaced(spark):
+    """A chain of unseen names: known, then X, then Y; the last is linked through the one between."""
+    day = lambda n: {"Valor": "A", n: "14/02/2021", "Cierre_Actual": 1.5}
+    rows = consistent(spark, [env(day("FechaCotizacion")), env(day("DiaRueda")), env(day("Jornada")), env({**day("Jornada"), "Lote": "x"})])
+    assert {str(r["fecha_cotizacion"]) for r in rows} == {"2021-02-14"} and [r["version"] for r in rows] == [1, 2, 3, 4] and rows[3]["otros"] == {"Lote": "x"}
+
+
+def test_registry(spark):
+    s = sd.file_schemas(files(spark, [env({"Valor": "A", "Monto": "1"}), env({"valor": "A", "Monto": 1}), env({"Valor": "B", "Monto": "2"}), env({"DiaRueda": "x9"})]), *KEYS)
+    r = {x["version"]: x for x in sd.registry(s, sd.schema_changes(s, "id_archivo", "canal", "secuencia", "fecha_recepcion"), "id_archivo", "fuente", "fecha_recepcion").collect()}
+    assert {v: x["archivos"] for v, x in r.items()} == {1: 2, 2: 1, 3: 1}
+    steps = lambda v: {(p["accion"], p["campo"], p["destino"]) for p in r[v]["pasos"]}
+    assert steps(1) == {("renombrar", "Valor", "valor"), ("renombrar", "Monto", "monto_negociado"), ("convertir", "Monto", "monto_negociado")}
+    assert steps(2) == {("renombrar", "valor", "valor"), ("renombrar", "Monto", "monto_negociado")}
 
 
 def test_numbers_as_text(spark):
