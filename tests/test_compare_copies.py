@@ -37,9 +37,37 @@ def test_random_against_brute_force_few_and_many_differences(spark):
 
 def test_peeling_reports_overflow():
     rng = np.random.default_rng(4)
-    size = 3 << cc.CELL_BITS
+    bits = 9
+    size = 3 << bits
     t = np.zeros((size, 6), dtype=np.int64)
     for _ in range(size * 2):
         t[rng.integers(0, size, 3)] += [1, int(rng.integers(0, 2**31)), 0, int(rng.integers(0, 2**31)), 0, 1]
     rows = np.flatnonzero(t.any(axis=1))
-    assert cc.peel(rows, t[rows])[1] is False
+    assert cc.peel(rows, t[rows], bits)[1] is False
+
+
+def test_keys_far_off_negative_and_sparse(spark):
+    """A few keys far from the rest don't widen the buckets of the others; hashed keys have buckets too."""
+    near = [(i, None, "A", 1.0) for i in range(2000)]
+    far = [(2**62, None, "A", 1.0), (-(2**62), None, "B", 2.0), (-5, None, "C", 3.0)]
+    wild = [(hash(("k", i)) * 2654435761 % 2**63 - 2**62, None, "W", 1.0) for i in range(500)]
+    for a in (near + far, wild, wild + near):
+        b = [(i, f, v, n + (i % 97 == 0)) for i, f, v, n in a[5:]]
+        assert run(spark, a, b, rows_per_bucket=200) == {(x[0], "solo_a") for x in a[:5]} | {(x[0], "n") for x in a[5:] if x[0] % 97 == 0}
+    left = spark.createDataFrame([(*x, 1, "x") for x in near + far], SCHEMA)
+    assert cc.block_bits(left, left, "id", 200) == 8
+
+
+def test_alike_runs_send_no_cells(spark, monkeypatch):
+    side = lambda change: spark.createDataFrame([(i, None, "A", 2.0 if i == change else 1.0, 1, "x") for i in range(5000)], SCHEMA)
+    a, b = (cc._hashed(side(c), "id", [cc.F.col("n")], 10) for c in (None, 77))
+    assert [tuple(r) for r in cc.differing_runs(a, b).collect()] == [(0, 1)]
+    found, _ = cc.differing_keys(side(None), side(77), "id", [cc.F.col("n")], [cc.F.col("n")], 1024)
+    assert [(r["k"], r["pelado"]) for r in found.collect()] == [(77, True)]
+
+
+def test_tables_that_cannot_be_sent_by_size(spark, monkeypatch):
+    monkeypatch.setattr(cc, "fits", lambda df: False)
+    a = [(i, None, "A", 1.0) for i in range(3000)]
+    b = [(i, None, "A", 1.0 + (i % 50 == 0)) for i in range(3000)]
+    assert run(spark, a, b, rows_per_bucket=500) == {(i, "n") for i in range(0, 3000, 50)}
