@@ -32,13 +32,21 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Inputs above this size, by the planner's statistics, have work enough per partition and are not spread.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work in Python that costs far more than a shuffle.
 
-    A table of a few small files is scanned in few tasks; one of many files is left as it is, without a shuffle.
+    Only a small table, by its size and not by the number of cores, is shuffled for it: one of a few small files is
+    scanned in few tasks. ``df`` should be a scan with a projection, below which nothing shuffles.
     """
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores * 2)
+    return df if plan.toRdd().getNumPartitions() >= cores else df.repartition(cores * 2)
 
 
 def fits(df: DataFrame, limit: int | None = None) -> bool:
