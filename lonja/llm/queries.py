@@ -68,7 +68,8 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, root, "documents")
-    return mixing.mixed(d, "doc_id", d["source"], d["text"], table(spark, root, "mezcla_objetivo"))
+    path = spark.conf.get("lonja.tokenizer", mixing.TOKENIZER)
+    return mixing.mixed(d, "doc_id", d["source"], d["text"], table(spark, root, "mezcla_objetivo"), path=path)
 
 
 def p9_mix(spark: SparkSession, root: str) -> DataFrame:

@@ -43,5 +43,36 @@ def test_budget_empty_and_repeatable(spark):
 
 def test_token_count(spark):
     df = spark.createDataFrame([("hello world",), (None,), ("",), ("<|endoftext|>",), ("x " * 200_000,)], "t string")
-    n = [r[0] for r in df.select(mixing.token_count(df["t"])).collect()]
+    n = [r[0] for r in df.select(mixing.token_count(spark, df["t"])).collect()]
     assert n[0] == 2 and n[1] == n[2] == 0 and n[3] > 1 and n[4] > 100_000
+
+
+def test_budget_beyond_the_scarcest_source(spark):
+    """A used-up source drops out, the others fill the budget, and the shares tell; beyond all sources the mix is all there is."""
+    docs = [("A", TEXT)] * 400 + [("B", TEXT)] * 20
+    each = run(spark, docs, [("a", 1.0, 1)])[0][0]["tokens"]
+    mix, shares = run(spark, docs, [("a", 0.5, 1), ("b", 0.5, 2)], total_tokens=300 * each)
+    assert sum(r["tokens"] for r in mix) == 300 * each == shares["a"]["tokens_pedidos"] == shares["a"]["tokens_dados"]
+    assert shares["b"]["agotada"] and not shares["a"]["agotada"] and shares["b"]["usos"] == 40 and shares["a"]["cuota_objetivo"] == 0.5 < shares["a"]["cuota"]
+    everything, shares = run(spark, docs, [("a", 0.5, 1), ("b", 0.5, 2)], total_tokens=10**9)
+    assert len(everything) == 440 and shares["a"]["tokens_dados"] == 440 * each < shares["a"]["tokens_pedidos"]
+
+
+def test_finish_times_against_brute_force(spark):
+    """Shares and finish times from a table of tokens alone."""
+    import random
+
+    r = random.Random(6)
+    docs = [(r.choice("AAAAB"), TEXT * r.randrange(1, 9)) for _ in range(300)]
+    mix, shares = run(spark, docs, [("a", 0.7, 2), ("b", 0.3, 3)])
+    tokens = {(x["doc_id"], x["fuente"]): x["tokens"] for x in mix}
+    for source, weight, turns in (("a", 0.7, 2), ("b", 0.3, 3)):
+        order = [x["doc_id"] for x in mix if x["fuente"] == source and x["vuelta"] == 0]
+        total, want = 0, []
+        for t in range(turns):
+            for d in order:
+                total += tokens[d, source]
+                want.append((d, t, total / weight))
+        got = [(x["doc_id"], x["vuelta"], x["fin_virtual"]) for x in mix if x["fuente"] == source]
+        assert len(got) <= len(want) and all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-6 for g, w in zip(got, want))
+    assert any(s["agotada"] for s in shares.values())
