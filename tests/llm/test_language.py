@@ -43,3 +43,21 @@ def test_empty(spark, root):
     none = d.limit(0)
     m = lg.fit(none, "doc_id", "text", none["lang"])
     assert lg.detect(none, "doc_id", "text", none["lang"], m).count() == 0
+
+
+def test_short_paragraphs_lean_on_their_document(spark, root):
+    m, _ = model(spark, root)
+    es = "La junta general de accionistas aprobó por unanimidad los estados financieros del año anterior."
+    docs = spark.createDataFrame([("a", f"{es}\n\nNo\n\n{es}", None), ("b", f"{es}\n\nThe board approved the plan\n\n{es}", None), ("c", "No", None), ("d", es + " " + "x" * 100_000, None)], "doc string, text string, lang string")
+    got = {(r["id"], r["segmento"]): r["lang"] for r in lg.detect(docs, "doc", "text", docs["lang"], m).collect()}
+    assert got["a", 1] == "es" and got["b", 1] == "en" and ("c", -1) in got and ("d", -1) in got
+
+
+def test_confidence_means_what_it_says(spark, root):
+    """Where labels and model were fitted on other documents, documents of confidence p have about a share p of right labels or more."""
+    m, d = model(spark, root)
+    told = lg.detect(d, "doc_id", "text", d["lang"], m).where("segmento = -1 and etiqueta is not null and not mezclado")
+    for low, least in ((0.5, 0.5), (0.9, 0.85)):
+        n, same = told.where(F.col("confianza") >= low).agg(F.count(F.lit(1)), F.count_if(F.col("etiqueta") == F.col("lang"))).first()
+        assert n and same / n >= least
+    assert (m.slopes > 0.2).all() and len(set(m.slopes.tolist())) > 1
