@@ -1,7 +1,8 @@
 """Passages of held-out items inside corpus documents, found with SimHash fingerprints of word windows.
 
 A passage of 25 words with a word in six changed still holds a run of five unchanged words, so windows of five words
-are fingerprinted at every position of items and documents. A word enters the fingerprint with itself and its letter
+are fingerprinted at every position of items and documents. That run is found whatever the radius; the radius adds
+windows with slips inside a word, for passages that are changed more than the definition allows for. A word enters the fingerprint with itself and its letter
 triples, so a slip within a word moves few bits. Fingerprints of 64 bits are cut into four blocks of 16: two that differ
 in at most three bits agree in one block, so looking every block up in a table finds all within that radius. Documents
 then have to share enough word pairs with a stretch of the item, and at last are aligned with it word by word.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,17 +32,25 @@ PASSAGE, CHANGED = 25, 6.0
 #: a passage of fewer than 42 words has six at most, and in longer ones seven in the first stretch and seven in the
 #: last are more than one word in six, or crowd into the eight words that both have and break nine pairs.
 LEAST_SHARE = 0.5
+#: Words of some stretch of PASSAGE item words that a passage has near the diagonal of its unchanged run. No passage has
+#: fewer: seven changes in each stretch are the most (all of 43 words' seven in the seven words that the first and the last
+#: stretch share), as eight in each need 48 words, whose first and last stretch share two.
+LEAST_WORDS = 18
+#: Pairs of texts that are aligned together, and the cells of their tables.
+ALIGNED_AT_ONCE, CELLS_AT_ONCE = 256, 1 << 23
+#: Words beyond those of the items that a worker keeps vectors of.
+WORDS_KEPT = 300_000
 #: Items that are held in memory at once; more are taken in blocks, each in its own pass over the documents.
 ITEMS_PER_PASS = 20_000
 
-TAG = re.compile(r"<[^<>]{1,200}>")
+TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
 ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]{2,8});")
 WORD = re.compile(r"[^\W_]+")
 
 
 _MARKS = re.compile("[\u0300-\u036f\u00ad\u200b]+")
-_IN_NUMBER = re.compile(r"(?<=\d)[.,](?=\d)")
-_HYPHENED = re.compile(r"(?<=[a-z])-\s*\n\s*(?=[a-z])")
+_IN_NUMBER = re.compile(r"[.,](?<=\d.)(?=\d)")
+_HYPHENED = re.compile(r"-(?<=[a-z]-)\s*\n\s*(?=[a-z])")
 
 
 def plain_words(text: str) -> list[str]:
@@ -53,35 +63,56 @@ def plain_words(text: str) -> list[str]:
     t = t.casefold()
     if not t.isascii():
         t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
-    return WORD.findall(_IN_NUMBER.sub("", _HYPHENED.sub("", t)))
+    if "-" in t:
+        t = _HYPHENED.sub("", t)
+    return WORD.findall(_IN_NUMBER.sub("", t))
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_vectors(words: list[str]) -> np.ndarray:
-    """A row of 64 numbers per word: for each bit of the hashes of its features, how much set outweighs not set.
+#: Features whose bits are held at once.
+FEATURES_AT_ONCE = 1 << 16
 
-    A word weighs as much as all its letter triples together, and every word weighs the same.
-    """
-    features, sizes = [], []
-    for w in words:
-        padded = f"^{w[:48]}$".encode()
-        own = [b"=" + padded, *(padded[i : i + 3] for i in range(len(padded) - 2))]
-        features += own
-        sizes.append(len(own))
+
+def _bits(features: list[bytes]) -> np.ndarray:
+    """A row of 64 numbers, 1 or -1, per feature: the bits of its hash."""
     h = np.array([zlib.crc32(f) | zlib.adler32(f[::-1]) << 32 for f in features], dtype=np.uint64)
     h ^= h >> np.uint64(31)
     h *= _MIX
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    on = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
-    n = np.array(sizes)
-    starts = np.cumsum(n) - n
-    whole = on[starts]
-    triples = np.add.reduceat(on, starts, axis=0) - whole
-    return np.round(60 * (whole + triples / np.maximum(1, n - 1)[:, None])).astype(np.int16)
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
+
+
+def word_vectors(words: list[str]) -> np.ndarray:
+    """A row of 64 numbers per word: for each bit of the hashes of its features, how much set outweighs not set.
+
+    A word weighs as much as all its letter triples together, and every word weighs the same. Words are taken whole,
+    whatever their length.
+    """
+    out = np.zeros((len(words), 64), dtype=np.float32)
+    features: list[bytes] = []
+    places: list[int] = []
+    weights: list[float] = []
+
+    def add() -> None:
+        np.add.at(out, np.array(places), _bits(features) * np.array(weights, dtype=np.float32)[:, None])
+        features.clear(), places.clear(), weights.clear()
+
+    for i, w in enumerate(words):
+        padded = f"^{w}$".encode()
+        n = len(padded) - 2
+        for f, weight in ((b"=" + padded, 60.0), *((padded[k : k + 3], 60.0 / n) for k in range(n))):
+            features.append(f)
+            places.append(i)
+            weights.append(weight)
+            if len(features) >= FEATURES_AT_ONCE:
+                add()
+    if features:
+        add()
+    return np.round(out).astype(np.int16)
 
 
 class Vocabulary:
@@ -91,6 +122,12 @@ class Vocabulary:
         self.number: dict[str, int] = {}
         self.vectors = np.zeros((0, 64), dtype=np.int16)
 
+    def forget(self, known: int) -> None:
+        """Leaves only the first ``known`` words."""
+        for w in list(self.number)[known:]:
+            del self.number[w]
+        self.vectors = self.vectors[:known].copy()
+
     def ids(self, words: list[str]) -> np.ndarray:
         new = [w for w in dict.fromkeys(words) if w not in self.number]
         if new:
@@ -114,18 +151,6 @@ def fingerprints(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-@dataclass
-class Pairs:
-    """The neighbouring word pairs of an item: distinct ones, and where each stands."""
-
-    distinct: np.ndarray
-    place: np.ndarray
-
-    @staticmethod
-    def of(pairs: np.ndarray) -> Pairs:
-        return Pairs(*np.unique(pairs, return_inverse=True))
-
-
 def _stretches(values: np.ndarray) -> np.ndarray:
     """Sums over every run of PASSAGE - 1 pairs."""
     c = np.zeros(len(values) + 1)
@@ -140,7 +165,9 @@ class Items:
 
     ids: list[int]
     words: list[np.ndarray]  # numbers of their words, below known
-    pairs: list[Pairs]
+    pairs: list[np.ndarray]  # numbers of their neighbouring word pairs, places in ``codes``
+    codes: np.ndarray
+    seen: np.ndarray  # a flag per pair, all down between uses
     prints: np.ndarray
     of: np.ndarray  # item of a window
     at: np.ndarray  # its place
@@ -166,10 +193,23 @@ def build(items: list[tuple[int, str]]) -> Items:
         key = ((allp >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
         order = np.argsort(key, kind="stable")
         tables.append((np.searchsorted(key[order], np.arange(65_537)), order))
-    pairs = [w[:-1] * known + w[1:] for w in words]
+    own = [w[:-1] * known + w[1:] for w in words]
+    codes = np.unique(np.concatenate(own)) if own else empty
+    pairs = [np.searchsorted(codes, p) for p in own]
     of = np.concatenate([np.full(len(p), k) for k, p in enumerate(prints)]) if prints else empty
     at = np.concatenate([np.arange(len(p)) for p in prints]) if prints else empty
-    return Items(ids, words, [Pairs.of(p) for p in pairs], allp, of, at, tables, v, known)
+    return Items(ids, words, pairs, codes, np.zeros(len(codes) + 1, dtype=bool), allp, of, at, tables, v, known)
+
+
+_built: tuple[str, Items] | None = None
+
+
+def index_of(name: str, items: list[tuple[int, str]]) -> Items:
+    """The index of the items called ``name``; a Python worker builds it once and keeps the last one for its next tasks."""
+    global _built
+    if _built is None or _built[0] != name:
+        _built = name, build(items)
+    return _built[1]
 
 
 def near_windows(prints: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -192,51 +232,86 @@ def near_windows(prints: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarr
     return both[:, 0], both[:, 1]
 
 
-def share(item: Pairs, region: np.ndarray, known: int) -> float:
-    """The best share of word pairs that a stretch of PASSAGE item words has in common with the region."""
-    codes = np.where((region[:-1] < known) & (region[1:] < known), region[:-1] * known + region[1:], -1)
-    at = np.minimum(np.searchsorted(item.distinct, codes), len(item.distinct) - 1)
-    there = np.zeros(len(item.distinct), dtype=bool)
-    there[at[item.distinct[at] == codes]] = True
-    return float(_stretches(there[item.place]).max()) / (PASSAGE - 1)
-
-
-def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Places of equal words (by number) in the longest common subsequence of the two."""
-    eq = a[:, None] == b[None, :]
-    n, m = eq.shape
-    best = np.zeros((n + 1, m + 1), dtype=np.int32)
-    for i in range(1, n + 1):
-        diag = best[i - 1, :-1] + eq[i - 1]
-        row = np.maximum(best[i - 1, 1:], diag)
-        best[i, 1:] = np.maximum.accumulate(row)
-    pairs, i, j = [], n, m
-    while i and j:
-        if eq[i - 1, j - 1] and best[i, j] == best[i - 1, j - 1] + 1:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif best[i - 1, j] >= best[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return pairs[::-1]
-
-
-def longest_passage(item: np.ndarray, region: np.ndarray, changed: float = CHANGED) -> int:
-    """Most consecutive item words that the region holds in order with at most one in ``changed`` changed, added or missing.
+def pair_numbers(ids: np.ndarray, items: Items) -> np.ndarray:
+    """The number of each neighbouring pair of words among the items' pairs; of those that no item has, one more than the last."""
+    none = len(items.codes)
+    if not none or len(ids) < 2:
+        return np.full(max(0, len(ids) - 1), none)
+    codes = np.where((ids[:-1] < items.known) & (ids[1:] < items.known), ids[:-1] * items.known + ids[1:], -1)
+    at = np.minimum(np.searchsorted(items.codes, codes), none - 1)
+    return np.where(items.codes[at] == codes, at, none)
+
+
+def share(item: np.ndarray, region: np.ndarray, seen: np.ndarray) -> float:
+    """The best share of word pairs that a stretch of PASSAGE item words has in common with the region's pairs."""
+    seen[region] = True
+    seen[-1] = False
+    best = float(_stretches(seen[item]).max()) / (PASSAGE - 1)
+    seen[region] = False
+    return best
+
+
+def near_diagonals(own: np.ndarray, region: np.ndarray, diagonals: np.ndarray) -> int:
+    """The most words of a stretch of PASSAGE item words that the region has near one of the diagonals (place in the region
+    less place in the item). Words added or missing in a passage move it off the diagonal by as many as there may be."""
+    off, n, best = int(len(own) / CHANGED) + 1, len(own), 0
+    padded = np.full(len(region) + 2 * (n + off), -1, dtype=region.dtype)
+    padded[n + off : n + off + len(region)] = region
+    c = np.zeros(n + 1, dtype=np.int64)
+    for d in set(np.clip(diagonals, -n, len(region)).tolist()):
+        there = np.zeros(n, dtype=bool)
+        for shift in range(n + d, n + d + 2 * off + 1):
+            there |= padded[shift : shift + n] == own
+        np.cumsum(there, out=c[1:])
+        best = max(best, int((c[PASSAGE:] - c[:-PASSAGE]).max()))
+        if best >= LEAST_WORDS:
+            break
+    return best
+
+
+def aligned(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Per pair of texts the places (rows of two) of equal words, by number, in their longest common subsequence.
+
+    All pairs are aligned together, a row of all their tables at a time; shorter texts are filled up with words that
+    equal nothing.
+    """
+    n, m = (max(len(p[k]) for p in pairs) for k in (0, 1))
+    a, b = np.full((len(pairs), n), -1, dtype=np.int32), np.full((len(pairs), m), -2, dtype=np.int32)
+    for k, (x, y) in enumerate(pairs):
+        a[k, : len(x)], b[k, : len(y)] = x, y
+    best = np.zeros((n + 1, len(pairs), m + 1), dtype=np.int16)
+    for i in range(n):
+        row = np.maximum(best[i, :, 1:], best[i, :, :-1] + (a[:, i, None] == b))
+        np.maximum.accumulate(row, axis=1, out=best[i + 1, :, 1:])
+    i, j = np.full(len(pairs), n), np.full(len(pairs), m)
+    mate = np.full((len(pairs), n), -1, dtype=np.int64)
+    live = np.arange(len(pairs))
+    while len(live):
+        x, y = i[live], j[live]
+        here, above, left = best[x, live, y], best[x - 1, live, y], best[x, live, y - 1]
+        hit = (a[live, x - 1] == b[live, y - 1]) & (here == best[x - 1, live, y - 1] + 1)
+        mate[live[hit], x[hit] - 1] = y[hit] - 1
+        up = ~hit & (above >= left)
+        i[live] = x - (hit | up)
+        j[live] = y - (hit | ~up)
+        live = live[(i[live] > 0) & (j[live] > 0)]
+    return [np.stack([np.flatnonzero(r >= 0), r[r >= 0]], axis=1) for r in mate]
+
+
+def longest_passage(p: np.ndarray, n: int, m: int, changed: float = CHANGED) -> int:
+    """Most consecutive of ``n`` item words that a region of ``m`` holds in order with at most one in ``changed`` changed,
+    added or missing; ``p``: the places of their equal words.
 
     A run may begin and end with changed words, as long as the region has words in their places.
     """
-    pairs = aligned(item, region)
-    if len(pairs) < PASSAGE // 2:
+    if len(p) < PASSAGE // 2:
         return 0
-    p = np.array(pairs)
     gap = np.maximum(np.diff(p[:, 0]), np.diff(p[:, 1])) - 1
     errors = np.r_[0, np.cumsum(gap)]
     length = p[None, :, 0] - p[:, 0][:, None] + 1
     wrong = errors[None, :] - errors[:, None]
     ok = (length > 0) & (wrong * changed <= length)
-    before, after = p.min(axis=1), (np.array([len(item), len(region)]) - 1 - p).min(axis=1)
+    before, after = p.min(axis=1), (np.array([n, m]) - 1 - p).min(axis=1)
     more = np.minimum(before[:, None] + after[None, :], (length - wrong * changed) // (changed - 1))
     return int((length + more)[ok].max())
 
@@ -265,15 +340,28 @@ def leaks(texts: list[str], items: Items, least: int = PASSAGE) -> list[tuple[in
     new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > sizes[item[1:]])]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(text)] - 1
-    longest: dict[tuple[int, int], int] = {}
+    numbers = pair_numbers(ids, items)
+    places: list[tuple[int, int]] = []
+    texts_of: list[tuple[np.ndarray, np.ndarray]] = []
     for f, e in zip(first, last):
         d, k = int(text[f]), int(item[f])
         own = items.words[k]
         lo, hi = max(starts[d], diagonal[f] - 12), min(starts[d] + n[d], diagonal[e] + len(own) + 12)
-        region = ids[lo:hi]
-        if share(items.pairs[k], region, items.known) >= LEAST_SHARE:
-            longest[d, k] = max(longest.get((d, k), 0), longest_passage(own, region))
-    return [(d, items.ids[k], m) for (d, k), m in longest.items() if m >= least]
+        if share(items.pairs[k], numbers[lo : hi - 1], items.seen) >= LEAST_SHARE and near_diagonals(own, ids[lo:hi], diagonal[f : e + 1] - lo) >= LEAST_WORDS:
+            places.append((d, k))
+            texts_of.append((own, ids[lo:hi]))
+    longest: dict[tuple[int, int], int] = {}
+    order = sorted(range(len(places)), key=lambda i: (len(texts_of[i][0]), len(texts_of[i][1])))  # alike sizes together
+    at = 0
+    while at < len(order):
+        some = [texts_of[i] for i in order[at : at + ALIGNED_AT_ONCE]]
+        widest = max(len(x) + 1 for x, _ in some) * max(len(y) + 1 for _, y in some)
+        some = some[: max(1, CELLS_AT_ONCE // widest)]
+        for i, p in zip(order[at:], aligned(some)):
+            n = longest_passage(p, len(texts_of[i][0]), len(texts_of[i][1]))
+            longest[places[i]] = max(longest.get(places[i], 0), n)
+        at += len(some)
+    return [(d, items.ids[k], n) for (d, k), n in longest.items() if n >= least]
 
 
 def leaked(docs: DataFrame, idc: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -294,9 +382,10 @@ def leaked(docs: DataFrame, idc: str, text: str, items: DataFrame, item_id: str,
     out = None
     for part in parts:
         sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most ITEMS_PER_PASS held-out items
+        name = uuid.uuid4().hex
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            known = build(sent.value)
+        def run(batches: Iterator[pd.DataFrame], sent=sent, name=name) -> Iterator[pd.DataFrame]:
+            known = index_of(name, sent.value)
             for pdf in batches:
                 texts, ids, found = pdf["t"].tolist(), pdf["doc"], []
                 size = a = 0
@@ -305,8 +394,8 @@ def leaked(docs: DataFrame, idc: str, text: str, items: DataFrame, item_id: str,
                     if size > 1_000_000 or z == len(texts):
                         found += [(ids.iat[a + d], i, n) for d, i, n in leaks(texts[a:z], known)]
                         size, a = 0, z
-                        if len(known.vocabulary.number) > 300_000:
-                            known = build(sent.value)
+                        if len(known.vocabulary.number) > known.known + WORDS_KEPT:
+                            known.vocabulary.forget(known.known)
                 yield pd.DataFrame(found, columns=["doc", "item", "palabras"])
 
         one = src.mapInPandas(run, f"doc {kind}, item long, palabras long")

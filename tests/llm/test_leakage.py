@@ -84,14 +84,57 @@ def test_multi_index_finds_all_within_radius():
 
 def test_alignment_against_brute_force():
     r = random.Random(9)
-    for _ in range(100):
-        a, b = ([r.choice("abcd") for _ in range(r.randrange(1, 15))] for _ in range(2))
+    cases = [tuple([r.choice("abcd") for _ in range(r.randrange(1, 15))] for _ in range(2)) for _ in range(200)]
+    found = lk.aligned([tuple(np.array([ord(c) for c in x]) for x in case) for case in cases])
+    for (a, b), p in zip(cases, found):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i in range(len(a)):
             for j in range(len(b)):
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
-        pairs = lk.aligned(np.array([ord(c) for c in a]), np.array([ord(c) for c in b]))
-        assert len(pairs) == t[-1][-1] and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
+        pairs = [tuple(x) for x in p.tolist()]
+        assert len(pairs) == t[-1][-1] and all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
+def test_long_words_and_forgotten_words():
+    """Words are hashed whole, and a worker that forgets words finds the same."""
+    v = lk.word_vectors(["a" * 100_000 + "b", "a" * 100_000 + "c", "corto"])
+    assert (v[0] != v[1]).any() and (v[2] == lk.word_vectors(["corto"])[0]).all()
+    items = lk.build(ITEMS)
+    doc = " ".join(text(50, 31)) + " nuevas palabras " + ITEMS[4][1] + " x" * 50
+    first = lk.leaks([doc], items)
+    items.vocabulary.forget(items.known)
+    assert len(items.vocabulary.number) == items.known == len(items.vocabulary.vectors) and lk.leaks([doc], items) == first == [(0, 4, 80)]
+
+
+def test_no_gate_stops_a_passage():
+    """Whatever has a passage by alignment alone is found: changes of every kind crowded at every place."""
+    r = random.Random(12)
+    items = lk.build(ITEMS[:6])
+    docs, want = [], []
+    for _ in range(400):
+        k, n = r.randrange(6), r.randrange(25, 60)
+        at = r.randrange(0, 80 - n + 1)
+        words, wrong = ITEMS[k][1].split()[at : at + n], r.randrange(0, n // 6 + 1)
+        centre = r.randrange(n)
+        spots = sorted(r.sample(range(n), wrong) if r.random() < 0.5 else sorted(range(n), key=lambda i: abs(i - centre))[:wrong])
+        how = r.choice(["alter", "drop", "add", "any"])
+        out = []
+        for i, w in enumerate(words):
+            kind = how if how != "any" else r.choice(["alter", "drop", "add"])
+            out += [w] if i not in spots else ["zz" + w] if kind == "alter" else [] if kind == "drop" else [w, "yy" + w]
+        docs.append(" ".join(text(20, r.random()) + out + text(20, r.random())))
+        region = items.vocabulary.ids(docs[-1].split())
+        own = items.words[k]
+        want.append((k, lk.longest_passage(lk.aligned([(own, region)])[0], len(own), len(region)) >= lk.PASSAGE))
+    found = {(d, i) for d, i, _ in lk.leaks(docs, items)}
+    missing = [d for d, (k, yes) in enumerate(want) if yes and (d, k) not in found]
+    assert sum(yes for _, yes in want) > 300 and missing == []
+
+
+def test_markup_of_any_length(spark):
+    item = ITEMS[2][1].split()
+    tag = f'<span title="{" ".join(text(90, 41))}">'
+    assert lk.leaks([" ".join(item[:15]) + tag + " ".join(item[15:30])], lk.build(ITEMS)) == [(0, 2, 30)]
 
 
 def test_pieces_of_long_texts_agree():
