@@ -103,8 +103,8 @@ def previous_rows(df: DataFrame, group: list[str], order: str, ties: list[str],
     return joined.withColumn(out, F.coalesce("__prev", "__before")["v"]).drop("__run", "__payload", "__prev", "__before", "__r", *(f"__g{i}" for i in range(len(group))))
 
 
-def join_hot(big: DataFrame, lookup: DataFrame, key: str, how: str = "inner", salt: int = 16) -> DataFrame:
-    """``big`` joined to ``lookup`` (unique by ``key``) where one key may hold a third of ``big``.
+def join_hot(big: DataFrame, lookup: DataFrame, key: str | list[str], how: str = "inner", salt: int = 16) -> DataFrame:
+    """``big`` joined (inner or left) to ``lookup`` where one key may hold a third of ``big``.
 
     A lookup that fits is broadcast; beyond that both sides are salted, so that a hot key is spread over ``salt`` tasks.
     """
@@ -112,4 +112,4 @@ def join_hot(big: DataFrame, lookup: DataFrame, key: str, how: str = "inner", sa
         return big.join(F.broadcast(lookup), key, how)
     salted = big.withColumn("__sal", F.pmod(F.xxhash64(*big.columns), F.lit(salt)).cast("int"))
     copies = lookup.withColumn("__sal", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return salted.join(copies, [key, "__sal"], how).drop("__sal")
+    return salted.join(copies, [*([key] if isinstance(key, str) else key), "__sal"], how).drop("__sal")
