@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT = "decimal(28,6)"
+EXACT, LARGE = "decimal(28,6)", 1e20
 
 
 def rolling_totals(
@@ -31,33 +31,36 @@ def rolling_totals(
     calendar day, whatever its number of rows. The product of entities and days is generated from each entity's own
     days, so there is no cross join, and filling gaps and window share one shuffle.
 
-    Sums are taken in decimal (six places), so they do not depend on the order of rows. NULL, NaN and infinite
-    amounts and prices add nothing. Rows without entity or day are left out. An empty table gives an empty result.
+    Sums are taken in decimal (six places), so they do not depend on the order of rows; figures of 1e20 and more, which
+    decimals can't hold, are summed as doubles and added. NULL, NaN and infinite amounts and prices add nothing. An entity
+    with a day far off (a marker such as 9999-12-31) has a row for every day up to it; set such days to NULL before. Rows without entity or day are left out. An empty table gives an empty result.
     Only the four expressions are read, so further columns with any name do no harm. Rows count as often as they
     occur; take repeated deliveries out before.
     """
-    finite = lambda c: F.when(~F.isnan(c.try_cast("double")) & (F.abs(c.try_cast("double")) < 1e20), c).try_cast(EXACT)
+    number = lambda c: F.when(~F.isnan(c.try_cast("double")) & (F.abs(c.try_cast("double")) != float("inf")), c)
+    large = lambda c: F.abs(c.try_cast("double")) >= LARGE
+    exact = lambda c: F.when(~large(c), c).try_cast(EXACT)
+    beyond = lambda c: F.when(large(c), c.try_cast("double"))
+    parts = {"a": exact(number(amount)), "aa": beyond(number(amount)), "p": exact(number(price)), "pp": beyond(number(price))}
     daily = (
-        rows.select(entity.alias("entidad"), day.cast("date").alias("dia"), finite(amount).alias("a"), finite(price).alias("p"))
+        rows.select(entity.alias("entidad"), day.cast("date").alias("dia"), *(c.alias(n) for n, c in parts.items()))
         .where("entidad is not null and dia is not null")
         .groupBy("entidad", "dia")
-        .agg(F.sum("a").alias("a"), F.sum("p").alias("p"), F.count("p").alias("np"), F.count(F.lit(1)).alias("filas"))
+        .agg(*(F.sum(n).alias(n) for n in parts), F.count(F.coalesce("p", "pp")).alias("np"), F.count(F.lit(1)).alias("filas"))
     )
     order = Window.partitionBy("entidad").orderBy("dia")
     until = F.coalesce(F.date_sub(F.lead("dia").over(order), 1), F.date_add("dia", tail_days))
-    dense = daily.withColumn("hasta", until).select(
-        "entidad", F.posexplode(F.sequence("dia", "hasta")).alias("k", "dia"), "a", "p", "np", "filas"
-    )
+    dense = daily.withColumn("hasta", until).select("entidad", F.posexplode(F.sequence("dia", "hasta")).alias("k", "dia"), *parts, "np", "filas")
     real = lambda c: F.when(F.col("k") == 0, F.col(c))
-    dense = dense.select("entidad", "dia", *(real(c).alias(c) for c in ("a", "p")), *(F.coalesce(real(c), F.lit(0)).alias(c) for c in ("np", "filas")))
+    dense = dense.select("entidad", "dia", *(real(c).alias(c) for c in parts), *(F.coalesce(real(c), F.lit(0)).alias(c) for c in ("np", "filas")))
     out = [F.col("entidad"), F.col("dia"), F.col("filas")]
     for n in periods:
         w = order.rowsBetween(-(n - 1), 0)
-        total = F.coalesce(F.sum("a").over(w), F.lit(0).cast(EXACT)).cast("double")
+        both = lambda c, w=w: F.coalesce(F.sum(c).over(w), F.lit(0).cast(EXACT)).cast("double") + F.coalesce(F.sum(2 * c).over(w), F.lit(0.0))
         out += [
-            total.alias(f"monto_{n}d"),
-            (total / n).alias(f"monto_prom_{n}d"),
-            F.try_divide(F.sum("p").over(w).cast("double"), F.sum("np").over(w)).alias(f"cierre_prom_{n}d"),
+            both("a").alias(f"monto_{n}d"),
+            (both("a") / n).alias(f"monto_prom_{n}d"),
+            F.try_divide(both("p"), F.sum("np").over(w)).alias(f"cierre_prom_{n}d"),
         ]
     return dense.select(*out)
 

@@ -15,7 +15,8 @@ from lonja.sql import SQL  # noqa: F401
 
 
 def registrations(spark: SparkSession, root: str) -> DataFrame:
-    """cotizaciones with each registration once: of two deliveries the one with values, then the smallest id."""
+    """cotizaciones with each registration once. Two deliveries of one registration have the same figures, or none; where
+    they should differ, each figure is the greater one."""
     q = table(spark, root, "cotizaciones").where("fecha_cotizacion is not null")
     best = lambda c: F.max(c).alias(c)
     return (
@@ -25,13 +26,16 @@ def registrations(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def p1_rolling(spark: SparkSession, root: str, tail_days: int = 0) -> DataFrame:
-    return rolling.rolling_totals(registrations(spark, root), F.col("t"), F.col("fecha_cotizacion"), F.col("monto_negociado"), F.col("cierre_actual"), (7, 30), tail_days)
+def p1_rolling(spark: SparkSession, root: str, tail_days: int = 0, only: DataFrame | None = None) -> DataFrame:
+    rows = registrations(spark, root)
+    rows = rows if only is None else rows.join(small(only), "t", "left_semi")
+    return rolling.rolling_totals(rows, F.col("t"), F.col("fecha_cotizacion"), F.col("monto_negociado"), F.col("cierre_actual"), (7, 30), tail_days)
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     stated = table(spark, root, "acumulados").alias("s")
-    true = p1_rolling(spark, root, tail_days=29).alias("t")
+    tickers = table(spark, root, "acumulados").select(ticker(F.col("valor")).alias("t")).where("t is not null").distinct()
+    true = p1_rolling(spark, root, tail_days=29, only=tickers).alias("t")  # no other ticker's figures are compared
     joined = stated.join(true, (ticker(F.col("s.valor")) == F.col("t.entidad")) & (F.col("s.fecha") == F.col("t.dia")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     wrong = (

@@ -56,3 +56,10 @@ def test_differs(spark):
 def test_one_shuffle_after_the_daily_aggregate(spark):
     plan = run(spark, [("A", day(0), 1.0, 1.0, "", 0)])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_figures_beyond_decimals(spark):
+    """A figure that no decimal holds counts in every period it lies in, and in none after it."""
+    rows = [("A", day(0), 3e25, 2e21, "x", 1), ("A", day(1), 5.25, 1.0, "x", 1), ("A", day(40), 1.5, 2.0, "x", 1)]
+    got = {x["dia"]: x for x in run(spark, rows).collect()}
+    assert math.isclose(got[day(1)]["monto_30d"], 3e25) and math.isclose(got[day(1)]["cierre_prom_7d"], 1e21) and got[day(31)]["monto_30d"] == 0 and got[day(40)]["monto_7d"] == 1.5
