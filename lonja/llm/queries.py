@@ -12,14 +12,24 @@ from lonja.operators.shared import join_hot, kept, small
 from lonja.sources import table
 
 
-def p6_links(spark: SparkSession, root: str) -> DataFrame:
-    """Every distinct name that means a company of the bridge, with that company."""
+def _names_and_companies(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     bridge = table(spark, root, "puente_ruc_nemonico")
     events = table(spark, root, "eventos").select(F.col("empresa").alias("nombre"), "sector")
     filings = table(spark, root, "principales_cuentas").where(company_id(F.col("ruc")).isNull()).select(F.col("nombre_empresa").alias("nombre"), F.col("tipo_sector").alias("sector"))
     companies = bridge.select(company_id(F.col("ruc")).alias("ruc"), F.col("razon_social").alias("nombre"), F.substring(ticker(F.col("nemonico_valor")), 1, 5).alias("raiz")).where("ruc is not null")
     companies = companies.groupBy("ruc", "nombre").agg(F.collect_set("raiz").alias("raices"))
-    return names.link(events.unionByName(filings), companies)
+    return events.unionByName(filings), companies
+
+
+def p6_links(spark: SparkSession, root: str) -> DataFrame:
+    """Every distinct name that means a company of the bridge, with that company."""
+    return names.link(*_names_and_companies(spark, root))
+
+
+def p6_bloques(spark: SparkSession, root: str) -> DataFrame:
+    """The twenty blocks with most pairs."""
+    every, companies = _names_and_companies(spark, root)
+    return names.blocks(every, companies, names.learn(companies, "nombre")).orderBy(F.desc(F.col("nombres") * F.col("empresas")), "clave", "linea", "region").limit(20)
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
@@ -92,4 +102,4 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return every.where(wrong | (F.col("mezclado") & (F.col("segmento") >= 0))).select("doc_id", "segmento", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_records, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_bloques, p7_found, p7_records, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_languages)}
