@@ -103,6 +103,23 @@ def explaining_fields(df: DataFrame, keys: Sequence[str], fields: Sequence[str])
     return one.select(F.explode(F.array(*(F.struct(F.lit(f).alias("campo"), F.col(f).alias("grupos")) for f in fields))).alias("x")).select("x.*")
 
 
+def out_of_range(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """A row (``serie``, ``filas``, ``fuera``) per rule: how many rows break it; NULLs break none. One pass."""
+    one = df.agg(F.count(F.lit(1)).alias("__n"), *(F.count_if(c).alias(n) for n, c in rules.items()))
+    return one.select("__n", F.explode(F.array(*(F.struct(F.lit(n).alias("serie"), F.col(n).alias("fuera")) for n in rules))).alias("x")).select("x.serie", F.col("__n").alias("filas"), "x.fuera")
+
+
+def flagged(df: DataFrame, flag: str) -> DataFrame:
+    """The rows whose flag is TRUE; all rows if there is no such column."""
+    return df.where(F.col(flag)) if flag in df.columns else df
+
+
+def accepted(rule: Column, mark: Column | None = None) -> Column:
+    """TRUE where the rule holds and the stored mark, if there is one, says so too; FALSE otherwise, also for NULLs."""
+    no = F.lit(False)
+    return F.coalesce(rule, no) & (F.coalesce(mark, no) if mark is not None else F.lit(True))
+
+
 def exact_quantile(df: DataFrame, column: str, p: float) -> DataFrame:
     """One row (``cuantil``, ``n``): the exact quantile with linear interpolation over the non-null values.
 

@@ -53,16 +53,18 @@ def prunes(df: DataFrame) -> bool:
     return bool(re.search(r"PartitionFilters: \[[^\]]+\]", text))
 
 
-def compare_layouts(spark: SparkSession, flat: str, partitioned: str, year: int, month: int, runs: int = 7) -> dict:
-    """Alternating timed runs of one month's aggregate on both layouts: medians, means, gain, and whether results agree."""
+def compare_layouts(spark: SparkSession, flat: str, partitioned: str, year: int, month: int, runs: int = 7, warm_ups: int = 1) -> dict:
+    """Alternating timed runs of one month's aggregate on both layouts, after untimed ones: medians, means, gain, and
+    whether results agree. For replicated data pass the tables that ``run_scale`` wrote."""
     times: dict[str, list[float]] = {"plano": [], "particionado": []}
     results = {}
     schema = spark.read.parquet(partitioned).schema  # stated, so that a run does not infer it again
-    for _ in range(runs):
+    for turn in range(warm_ups + runs):
         for name, path in (("plano", flat), ("particionado", partitioned)):
             began = time.time()
             results[name] = month_aggregate(spark.read.schema(schema).parquet(path), year, month).first()
-            times[name].append(time.time() - began)
+            if turn >= warm_ups:
+                times[name].append(time.time() - began)
     medians = {k: statistics.median(v) for k, v in times.items()}
     a, b = results["plano"], results["particionado"]
     same = a["filas"] == b["filas"] and abs((a["monto"] or 0) - (b["monto"] or 0)) <= 1e-9 * max(1.0, abs(a["monto"] or 0))

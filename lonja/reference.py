@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from lonja.functions import text as tx
 from lonja.functions.keys import company_id, quarter, ticker
 from lonja.operators import audit, delta, identity
+from lonja.operators.shared import shared_dir
 from lonja.plans import gold, model, scale, views
 from lonja.sources import table
+from lonja.sources.writers import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -381,6 +383,53 @@ def wn_vecinos(spark, root):
     return views.quotes(spark, root).select("valor", "fecha_cotizacion", F.lag("cierre_actual").over(w).alias("anterior"), F.lead("cierre_actual").over(w).alias("siguiente"), F.row_number().over(w).alias("numero"))
 
 
+@query(f"with {Q_QUOTES}, {Q_BRIDGE} select valor, count(*) filas from quotes where valor in (select nemonico_valor from bridge) group by 1 order by filas desc, valor limit 30")
+def sl_treinta_con_puente(spark, root):
+    q = views.quotes(spark, root).join(views.bridge(spark, root).select(F.col("nemonico_valor").alias("valor")), "valor", "left_semi")
+    return q.groupBy("valor").agg(F.count(F.lit(1)).alias("filas")).orderBy(F.desc("filas"), "valor").limit(30)
+
+
+@query(f"with {Q_IDENTITY}, {Q_DATES} select numero_expediente, nombre_norm, fecha from ident join ev using (numero_expediente) where not identificado order by numero_expediente limit 50")
+def sl_eventos_sin_empresa(spark, root):
+    """The first fifty events without a company, a report for review."""
+    e = views.events(spark, root).select("numero_expediente", F.col("fecha_presentacion_date").alias("fecha"))
+    return views.identity(spark, root).where("not identificado").select("numero_expediente", "nombre_norm").join(e, "numero_expediente").orderBy("numero_expediente").limit(50)
+
+
+@query("select tipo_hecho, count(*) filas from eventos group by 1 order by filas desc, tipo_hecho nulls last limit 15")
+def sl_tipos_frecuentes(spark, root):
+    return table(spark, root, "eventos").groupBy("tipo_hecho").agg(F.count(F.lit(1)).alias("filas")).orderBy(F.desc("filas"), F.asc_nulls_last("tipo_hecho")).limit(15)
+
+
+@query(f"select ruc, min(n) nombre_empresa from (select {RUC.format('ruc')} ruc, nombre_empresa n from principales_cuentas union all select {RUC.format('ruc')}, razon_social from puente_ruc_nemonico) where ruc is not null group by 1")
+def ag_universo(spark, root):
+    a = table(spark, root, "principales_cuentas").select("ruc", "nombre_empresa")
+    b = table(spark, root, "puente_ruc_nemonico").select("ruc", F.col("razon_social").alias("nombre_empresa"))
+    return identity.universe(a.unionByName(b), company_id(F.col("ruc")), ["nombre_empresa"])
+
+
+@query(f"""with {Q_FILINGS}, {Q_QUOTES}, {Q_BRIDGE}, {Q_MARKET}, {Q_SPLIT}
+select b.ruc, b.ejercicio, b.trimestre, nemonicos_cotizados, dias_con_cotizacion from bad b join market m on m.ruc = b.ruc and m.ejercicio = b.ejercicio and m.trimestre = b.trimestre""")
+def jn_colisiones_cotizadas(spark, root):
+    """Periods with more than one filing in which the company was quoted."""
+    many = views.filings(spark, root).where("ruc is not null").groupBy(*gold.PERIOD).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    market = gold.quarterly_market(views.quotes(spark, root), views.bridge(spark, root)).select(*gold.PERIOD, "nemonicos_cotizados", "dias_con_cotizacion")
+    return many.join(market, gold.PERIOD)
+
+
+_LOOSE = "nullif(trim(regexp_replace(regexp_replace(upper({}), '[^A-Z0-9]', ' ', 'g'), ' +', ' ', 'g')), '')"
+
+
+@query(
+    f"""with e as (select distinct {_LOOSE.format('empresa')} nombre from eventos), b as (select {_LOOSE.format('razon_social')} nombre, count(distinct {RUC.format('ruc')}) empresas from puente_ruc_nemonico group by 1)
+select e.nombre, coalesce(empresas, 0)::double empresas from e left join b using (nombre) where e.nombre is not null"""
+)
+def jn_puente_exploratorio(spark, root):
+    b = table(spark, root, "puente_ruc_nemonico").groupBy(tx.loose_name(F.col("razon_social")).alias("nombre")).agg(F.count_distinct(company_id(F.col("ruc"))).alias("empresas"))
+    e = table(spark, root, "eventos").select(tx.loose_name(F.col("empresa")).alias("nombre")).where("nombre is not null").distinct()
+    return e.join(b, "nombre", "left").select("nombre", F.coalesce("empresas", F.lit(0)).cast("double").alias("empresas"))
+
+
 # --- set operations -----------------------------------------------------------------------------------------------------
 
 
@@ -456,6 +505,47 @@ def dl_conflictos(spark, root):
     return delta.conflicts(q, ["valor", "fecha_cotizacion"], ["cierre_actual", "monto_negociado"])
 
 
+_CUT = "2024-01-01"
+
+
+def _filing_batch(spark, root):
+    """The filings that had come in by a day, and those that came later as a batch."""
+    f = table(spark, root, "principales_cuentas").select("id_registro", "clave_negocio", "activo_total", "fecha_ingesta")
+    return f.where(F.coalesce(F.col("fecha_ingesta") < F.lit(_CUT), F.lit(True))), f.where(F.col("fecha_ingesta") >= F.lit(_CUT))
+
+
+@query(
+    f"""with a as (select * from principales_cuentas where coalesce(fecha_ingesta < date '{_CUT}', true)), b as (select * from principales_cuentas where fecha_ingesta >= date '{_CUT}' and clave_negocio is not null and id_registro not in (select id_registro from a))
+select id_registro, clave_negocio, case when clave_negocio in (select clave_negocio from a where clave_negocio is not null) then 'EXISTE_EN_TABLA' else 'REPETIDA_EN_LOTE' end causa from b
+where clave_negocio in (select clave_negocio from a where clave_negocio is not null) or clave_negocio in (select clave_negocio from b group by 1 having count(*) > 1)"""
+)
+def dl_claves_en_conflicto(spark, root):
+    current, batch = _filing_batch(spark, root)
+    return delta.key_conflicts(current, batch, ["id_registro"], ["clave_negocio"]).select("id_registro", "clave_negocio", "causa")
+
+
+@query("select id_registro, clave_negocio is not null and count(*) over (partition by clave_negocio) > 1 colision_clave_negocio from principales_cuentas")
+def dl_colisiones_reconstruidas(spark, root):
+    current, batch = _filing_batch(spark, root)
+    after = delta.merged(delta.with_collisions(current, "clave_negocio").select(*current.columns), batch, ["id_registro"], ["clave_negocio", "activo_total"])
+    return delta.with_collisions(after, "clave_negocio").select("id_registro", "colision_clave_negocio")
+
+
+@query(
+    f"""with b as (select distinct id_fila, {", ".join(PAYLOAD)} from cotizaciones_copia where id_fila is not null)
+select id_fila, {", ".join(PAYLOAD)}, year(fecha_cotizacion)::double anio from (select id_fila, {", ".join(PAYLOAD)} from cotizaciones anti join b using (id_fila) union all select * from b)"""
+)
+def dl_aplicado(spark, root):
+    """The table after a batch was staged and published: dates that changed move rows between years, and rows without a date have a partition too."""
+    base = f"{shared_dir(spark)}/delta-{delta.run_id()}"
+    current, batch = (d.withColumn("anio", F.year("fecha_cotizacion")) for d in _sides(spark, root))
+    write_table(current, f"{base}/tabla", ("anio",))
+    stored = spark.read.parquet(f"{base}/tabla").select(*current.columns)
+    m = delta.apply_batch(stored, batch, ["id_fila"], [*PAYLOAD, "anio"], ["anio"], f"{base}/lote", table_path=f"{base}/tabla", allowed=[base])
+    delta.publish(spark, m, f"{base}/tabla", ["anio"], confirm=True, keys=["id_fila"], backup=f"{base}/respaldo")
+    return spark.read.parquet(f"{base}/tabla").select("id_fila", *PAYLOAD, F.col("anio").cast("double").alias("anio"))
+
+
 # --- audits -----------------------------------------------------------------------------------------------------------------
 
 _NULLS = ["activo_total", "patrimonio_total", "total_ingreso", "pasivo_total", "ciiu", "ruc", "clave_negocio"]
@@ -564,15 +654,73 @@ def dq_identidad(spark, root):
     return views.identity(spark, root).groupBy("metodo").agg(F.count(F.lit(1)).alias("casos"), F.count("ruc").alias("con_ruc"), F.count_if(F.col("identificado") & (F.col("n_nemonicos") == 0)).alias("sin_nemonico"), F.count_distinct("numero_expediente").alias("distintos"))
 
 
-@query(" union all ".join(f"select '{n}' tabla, count(*) filas, count(distinct {k}) claves from {n}" for n, k in (("cotizaciones", "id_fila"), ("principales_cuentas", "id_registro"), ("eventos", "numero_expediente"), ("documents", "guid_documento"))))
+_SETS = (
+    ("cotizaciones", "id_fila"), ("principales_cuentas", "id_registro"), ("eventos", "numero_expediente"), ("documents", "guid_documento"),
+    ("puente_ruc_nemonico", "nemonico_valor"), ("embig", "num_linea"), ("archivos_crudos", "id_archivo"),
+)
+
+
+@query(" union all ".join(f"select '{n}' tabla, count(*) filas, count(distinct {k}) claves from {n}" for n, k in _SETS))
 def dq_resumen(spark, root):
-    parts = [table(spark, root, n).agg(F.lit(n).alias("tabla"), F.count(F.lit(1)).alias("filas"), F.count_distinct(k).alias("claves")) for n, k in (("cotizaciones", "id_fila"), ("principales_cuentas", "id_registro"), ("eventos", "numero_expediente"), ("documents", "guid_documento"))]
+    parts = [table(spark, root, n).agg(F.lit(n).alias("tabla"), F.count(F.lit(1)).alias("filas"), F.count_distinct(k).alias("claves")) for n, k in _SETS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
 
 
+@query(
+    f"""with {Q_IDENTITY}, {Q_QUOTES}, quoted as (select distinct {RUC.format('ruc')} ruc from puente_ruc_nemonico where {T.format('nemonico_valor')} in (select valor from quotes))
+select metodo, count(*) eventos, count(*) filter (n_nemonicos > 0) con_nemonico, count(*) filter (ruc in (select ruc from quoted where ruc is not null)) cotizados,
+count(*) filter (metodo = 'SEGUNDA' and ruc in (select ruc from quoted where ruc is not null)) recuperados from ident group by 1"""
+)
+def dq_ruta_nemonico(spark, root):
+    """Events by route of identity: with tickers, with quoted tickers, and those that only the second route recovers."""
+    quoted = views.bridge(spark, root).join(views.quotes(spark, root).select(F.col("valor").alias("nemonico_valor")).distinct(), "nemonico_valor", "left_semi").select("ruc").distinct().withColumn("q", F.lit(True))
+    i = views.identity(spark, root).join(quoted, "ruc", "left")
+    hit = F.col("q").isNotNull()
+    return i.groupBy("metodo").agg(F.count(F.lit(1)).alias("eventos"), F.count_if(F.col("n_nemonicos") > 0).alias("con_nemonico"), F.count_if(hit).alias("cotizados"), F.count_if(hit & (F.col("metodo") == "SEGUNDA")).alias("recuperados"))
+
+
+@query(
+    f"""with {Q_MACRO}, {Q_QUOTES} select 'tipo_cambio' serie, count(*) filas, count(*) filter (tipo_cambio <= 0) fuera from macro union all select 'embig', count(*), count(*) filter (embig < 0) from macro
+union all select 'cierre_actual', count(*), count(*) filter (cierre_actual <= 0) from quotes union all select 'rango', count(*), count(*) filter (minima_actual > maxima_actual or cierre_actual > maxima_actual) from quotes"""
+)
+def dq_rangos(spark, root):
+    """Values outside their range: exchange rates and closes of 0 and less, negative spreads, days whose figures contradict each other."""
+    m, q = views.macro(spark, root), views.quotes(spark, root)
+    fx, risk = audit.out_of_range(m, {"tipo_cambio": F.col("tipo_cambio") <= 0, "embig": F.col("embig") < 0}), audit.out_of_range(q, {"cierre_actual": F.col("cierre_actual") <= 0, "rango": (F.col("minima_actual") > F.col("maxima_actual")) | (F.col("cierre_actual") > F.col("maxima_actual"))})
+    return fx.unionByName(risk)
+
+
+@query("select coherencia_temporal, count(*) filas from eventos where usar_silver_principal group by 1")
+def dq_eventos_utilizables(spark, root):
+    return audit.flagged(table(spark, root, "eventos"), "usar_silver_principal").groupBy("coherencia_temporal").agg(F.count(F.lit(1)).alias("filas"))
+
+
+@query(f"with {Q_FILINGS}, f as (select filings.ruc is not null ok, rpj is not null marca from filings join principales_cuentas using (id_registro)) select ok and marca aceptado, count(*) filas from f group by 1")
+def dq_validez_con_marca(spark, root):
+    """Filings whose company id is valid and, as a stored mark, known to the registry; a NULL in either is no."""
+    f = table(spark, root, "principales_cuentas")
+    ok = audit.accepted(company_id(f["ruc"]).isNotNull(), f["rpj"].isNotNull())
+    return f.groupBy(ok.alias("aceptado")).agg(F.count(F.lit(1)).alias("filas"))
+
+
+@query(
+    f"""with {Q_QUOTES}, {Q_BRIDGE}, {Q_FILINGS}, {Q_MACRO}, q as (select *, valor in (select nemonico_valor from bridge) hit, fecha_cotizacion in (select fecha from macro) dia from quotes)
+select 'empresas' medida, count(distinct ruc) total, count(distinct ruc) filter (ruc in (select ruc from bridge)) cubiertos from filings where ruc is not null
+union all select 'nemonicos', count(distinct valor), count(distinct valor) filter (hit) from q union all select 'filas', count(*), count(*) filter (hit) from q union all select 'fechas', count(distinct fecha_cotizacion), count(distinct fecha_cotizacion) filter (dia) from q"""
+)
+def dq_integracion(spark, root):
+    """How much of the companies, tickers, rows and days of the products is covered by bridge and macro series."""
+    b, q = views.bridge(spark, root), views.quotes(spark, root)
+    part = lambda d, name: d.select(F.lit(name).alias("medida"), F.col("izquierda").alias("total"), F.col("comunes").alias("cubiertos"))
+    tickers = b.select(F.col("nemonico_valor").alias("valor"))
+    rows = q.join(tickers.distinct().withColumn("hay", F.lit(1)), "valor", "left").agg(F.count(F.lit(1)).alias("total"), F.count("hay").alias("cubiertos")).select(F.lit("filas").alias("medida"), "total", "cubiertos")
+    days = audit.key_coverage(q.select(F.col("fecha_cotizacion").alias("fecha")), views.macro(spark, root), "fecha")
+    return part(audit.key_coverage(views.filings(spark, root), b, "ruc"), "empresas").unionByName(part(audit.key_coverage(q, tickers, "valor"), "nemonicos")).unionByName(rows).unionByName(part(days, "fechas"))
+
+
 # --- model and benchmarks ---------------------------------------------------------------------------------------------------
 
 

@@ -131,6 +131,43 @@ def test_scale_and_layouts(spark, tmp_path):
     assert c["iguales"] and c["poda"]
 
 
+def test_input_files_flags_and_marks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.range(8).repartition(4).write.parquet(str(tmp_path / "f"))
+    assert writers.input_file_count(spark.read.parquet(str(tmp_path / "f"))) == 4
+    df = spark.createDataFrame([(True, None), (False, True), (None, True), (True, True)], "usar boolean, marca boolean")
+    assert audit.flagged(df, "usar").count() == 2 and audit.flagged(df, "otra").count() == 4
+    assert [r[0] for r in df.select(audit.accepted(F.col("usar"), F.col("marca"))).collect()] == [False, False, False, True]
+    assert [r[0] for r in df.select(audit.accepted(F.col("usar"))).collect()] == [True, False, False, True]
+
+
+def test_exact_quantile(spark):
+    import statistics
+
+    for values in ([3.0, 1.0, 2.0, 2.0, 9.0, None], [5.0], [1.0, 2.0]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        clean = sorted(v for v in values if v is not None)
+        want = statistics.quantiles(clean, n=4, method="inclusive")[2] if len(clean) > 1 else clean[0]
+        assert tuple(audit.exact_quantile(df, "x", 0.75).first()) == (want, len(clean))
+    assert tuple(audit.exact_quantile(df.limit(0), "x", 0.5).first()) == (None, 0)
+
+
+def test_hot_keys_stay_spread(spark):
+    """A business key, and a period, that a third of the filings share."""
+    from lonja.operators.delta import with_collisions
+    from lonja.plans import gold
+
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i}", "20" if i % 3 == 0 else f"r{i}", 2024, None if i % 3 == 0 else "1er Trimestre") for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, clave string, ruc string, ejercicio int, trimestre string")
+    flags = with_collisions(df, "clave")
+    assert flags.where("colision_clave_negocio").count() == 100
+    ok, invalid, many = gold.split_filings(df)
+    assert (ok.count(), invalid.count(), many.count()) == (200, 0, 100)
+    for d in (flags, many):
+        assert "SortMergeJoin" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gate_helpers(spark):
     df = spark.createDataFrame([("a", None), ("a", "1"), (None, "x")], "k string, v string")
     assert {r["columna"]: r["nulos"] for r in audit.null_profile(df).collect()} == {"k": 1, "v": 1}
