@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ def envelopes(spark: SparkSession, paths: str | Sequence[str], names: Sequence[s
     """The records of JSON files that wrap an array of records in an object, or are a bare array of records.
 
     With ``schema`` (of the files) nothing is inferred. ``required``: columns by which bare records are known.
-    ``require_unique``: refuse files with several candidate arrays. Raises ValueError if there is no array.
+    Files that wrap their records under different names are read together, columns by name. ``require_unique``: refuse
+    several names. Raises ValueError if there is no array.
     """
     reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True)
     df = (reader.schema(schema) if schema else reader).json(paths if isinstance(paths, str) else list(paths))
@@ -52,7 +54,15 @@ def unwrap(df: DataFrame, names: Sequence[str] = ARRAY_NAMES, require_unique: bo
         raise ValueError(f"no array of records under {tuple(names)}; there are {df.columns}")
     if require_unique and len(arrays) > 1:
         raise ValueError(f"several arrays of records: {arrays}")
-    return df.select(F.explode(arrays[0]).alias("r")).select("r.*")
+    parts = [df.select(F.explode(a).alias("r")).select("r.*") for a in arrays]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def whole_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Files whose JSON document goes over several lines, one row each: ``nombre``, ``documento`` (NULL where it can't be
+    read). A file is read as a whole by one task, so its lines can't come out of order."""
+    t = whole_texts(spark, path, "*")
+    return t.select("nombre", F.from_json("texto", schema).alias("documento"))
 
 
 def series(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:

@@ -94,7 +94,7 @@ missing as (
     case when t is null then 'inexistente' when fecha_cotizacion < desde then 'anterior' when fecha_cotizacion > hasta then 'posterior' end motivo
   from cotizaciones left join listed on t = {_TICKER.format('valor')} where valor is not null
   union all
-  select 'principales_cuentas', id_registro, r, cast(ejercicio as varchar) || '-ejercicio', 'inexistente'
+  select 'principales_cuentas', id_registro, r, concat_ws('-', cast(ejercicio as varchar), 'ejercicio'), 'inexistente'
   from (select *, {_RUC.format('ruc')} r from principales_cuentas)
   where length(r) = 11 and r <> '00000000000' and r not in (select {_RUC.format('ruc')} from puente_ruc_nemonico where ruc is not null))"""
 

@@ -13,6 +13,12 @@ def test_envelopes(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"ResponseCode": 1, "Resultado": [{"Valor": "A", "x": 1}, {"Valor": "B", "x": 2}]}))
     (tmp_path / "b.json").write_text(json.dumps({"ResponseCode": 1, "Resultado": []}))
     assert {r["Valor"] for r in readers.envelopes(spark, str(tmp_path)).collect()} == {"A", "B"}
+    (tmp_path / "d.json").write_text(json.dumps({"data": [{"Valor": "D", "y": 3}]}))
+    assert {(r["Valor"], r["x"], r["y"]) for r in readers.envelopes(spark, str(tmp_path)).collect()} == {("A", 1, None), ("B", 2, None), ("D", None, 3)}
+    with pytest.raises(ValueError):
+        readers.envelopes(spark, str(tmp_path), require_unique=True)
+    whole = readers.whole_json(spark, str(tmp_path / "a.json"), spark.createDataFrame([], "ResponseCode int").schema)
+    assert [r["documento"]["ResponseCode"] for r in whole.collect()] == [1]
     bare = tmp_path / "bare"
     bare.mkdir()
     (bare / "c.json").write_text(json.dumps([{"Valor": "C", "x": 1}]))
