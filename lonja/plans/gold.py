@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lonja.functions.text import percent_change, quarter_label
-from lonja.operators.shared import join_hot
+from lonja.operators.shared import join_hot, kept
 
 
 def macro(fx: DataFrame, risk: DataFrame, corrected: bool = True) -> DataFrame:
@@ -118,7 +118,7 @@ def event_impact_asof(events: DataFrame, bridge: DataFrame, quotes: DataFrame, k
     back = Window.partitionBy("nemonico").orderBy(F.desc("dia"), F.desc("orden"))
     after = F.last("p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     days = q.unionByName(a).withColumn("antes", before).withColumn("despues", after).where("orden = 0").select(F.struct("nemonico", "dia").alias("__k"), "antes", "despues")
-    return join_hot(e.withColumn("__k", F.struct("nemonico", "dia")), days, "__k").select(
+    return join_hot(e.withColumn("__k", F.struct("nemonico", "dia")), kept(days), "__k").select(
         key, "nemonico", F.col("dia").alias("fecha_evento"), F.col("antes.dia").alias("fecha_cotizacion_previa"), F.col("despues.dia").alias("fecha_cotizacion_evento_o_siguiente"),
         F.col("antes.cierre").alias("cierre_previo"), F.col("despues.cierre").alias("cierre_evento"),
         F.try_divide(100 * (F.col("despues.cierre") - F.col("antes.cierre")), F.col("antes.cierre")).alias("retorno_evento_pct"), (F.col("despues.monto") - F.col("antes.monto")).alias("cambio_monto_negociado"),
