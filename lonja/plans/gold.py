@@ -67,6 +67,17 @@ def split_filings(filings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return part(False), invalid, part(True)
 
 
+def filing_classes(filings: DataFrame) -> DataFrame:
+    """How many rows ``split_filings`` sets aside as invalid and as ambiguous, and how many it leaves: (``clase``, ``filas``).
+
+    The periods are counted, by task and then together, and nothing is joined or broadcast. A class without rows is 0.
+    """
+    n = filings.groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("__n"))
+    of = {"invalido": F.col("ruc").isNull(), "ambiguo": F.col("ruc").isNotNull() & (F.col("__n") > 1), "utilizable": F.col("ruc").isNotNull() & (F.col("__n") == 1)}
+    sums = n.agg(*(F.coalesce(F.sum(F.when(c, F.col("__n"))), F.lit(0)).alias(k) for k, c in of.items()))
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(k).alias("clase"), F.col(k).alias("filas")) for k in of))))
+
+
 def company_quarter(filings: DataFrame, market: DataFrame) -> DataFrame:
     """Corrected: the usable filings with the quarter's market figures."""
     return split_filings(filings)[0].join(market, PERIOD, "left")
