@@ -287,12 +287,13 @@ def key_conflicts(current: DataFrame, batch: DataFrame, ids: list[str], business
 def with_collisions(rows: DataFrame, key: str, count: str = "cantidad_clave_negocio", flag: str = "colision_clave_negocio") -> DataFrame:
     """``rows`` with the number of rows of their business key and whether there are several; rebuilt after every merge.
 
-    A NULL key has no count and no collision. The counts are joined back by their size, salted beyond it, so a key that
-    many rows share stays spread.
+    A NULL key has no count and no collision. Only the counts of keys with several rows are joined back, by their size,
+    and the keys that many rows share are salted, so they stay spread; a key that is not among them has one row.
     """
-    n = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(count))
+    n = kept(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(count)).where(F.col(count) > 1))
     plain = rows.drop(count, flag)
-    return join_hot(plain, n, key, "left").select(*(c for c in plain.columns), count, F.coalesce(F.col(count) > 1, F.lit(False)).alias(flag))
+    of_row = F.when(F.col(key).isNotNull(), F.coalesce(F.col(count), F.lit(1).cast("long")))
+    return join_hot(plain, n, key, "left", rows=count).select(*(c for c in plain.columns), of_row.alias(count), F.col(count).isNotNull().alias(flag))
 
 
 def save_manifest(spark: SparkSession, manifest: dict, path: str) -> None:

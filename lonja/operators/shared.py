@@ -7,8 +7,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast if its measured content, as JSON text, is no larger than this.
-BROADCAST_BYTES = 32 << 20
+#: A side of a join is broadcast if its measured content, as JSON text, is no larger than this. The driver holds such a
+#: side several times (fetched, hashed, and in pieces to be sent), and those of one query at once.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -103,13 +104,23 @@ def previous_rows(df: DataFrame, group: list[str], order: str, ties: list[str],
     return joined.withColumn(out, F.coalesce("__prev", "__before")["v"]).drop("__run", "__payload", "__prev", "__before", "__r", *(f"__g{i}" for i in range(len(group))))
 
 
-def join_hot(big: DataFrame, lookup: DataFrame, key: str | list[str], how: str = "inner", salt: int = 16) -> DataFrame:
+def join_hot(big: DataFrame, lookup: DataFrame, key: str | list[str], how: str = "inner", salt: int = 16, rows: str | None = None, hot: int = 100_000) -> DataFrame:
     """``big`` joined (inner or left) to ``lookup`` where one key may hold a third of ``big``.
 
-    A lookup that fits is broadcast; beyond that both sides are salted, so that a hot key is spread over ``salt`` tasks.
+    A lookup that fits is broadcast; beyond that both sides are shuffled, and keys with at least ``hot`` rows of ``big``
+    are salted, so that such a key is spread over ``salt`` tasks while the lookup's other rows are sent once. ``rows``: the
+    lookup's column that says how many rows of ``big`` have its key, if it has one; else they are counted. Rows with a
+    NULL in the key match nothing and are spread too.
     """
     if fits(lookup):
         return big.join(F.broadcast(lookup), key, how)
-    salted = big.withColumn("__sal", F.pmod(F.xxhash64(*big.columns), F.lit(salt)).cast("int"))
-    copies = lookup.withColumn("__sal", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return salted.join(copies, [*([key] if isinstance(key, str) else key), "__sal"], how).drop("__sal")
+    keys = [key] if isinstance(key, str) else list(key)
+    n = lookup.select(*keys, F.col(rows).alias("__rows")) if rows else big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    # one row per `hot` rows of the larger side at most
+    often = kept(n.where(F.col("__rows") >= hot).select(*keys, F.lit(True).alias("__hot")).distinct())
+    spread_out = F.col("__hot").isNotNull()
+    for k in keys:
+        spread_out = spread_out | F.col(k).isNull()
+    salted = big.join(small(often), keys, "left").withColumn("__sal", F.when(spread_out, F.pmod(F.xxhash64(*big.columns), F.lit(salt))).otherwise(0).cast("int")).drop("__hot")
+    copies = lookup.join(small(often), keys, "left").withColumn("__sal", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return salted.join(copies, [*keys, "__sal"], how).drop("__sal")

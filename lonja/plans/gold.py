@@ -62,7 +62,7 @@ def split_filings(filings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     invalid = filings.where("ruc is null")
     valid = filings.where("ruc is not null").withColumn("__p", F.to_json(F.struct(*PERIOD), {"ignoreNullFields": "false"}))
     n = valid.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    marked = join_hot(valid, n, "__p", "left")
+    marked = join_hot(valid, kept(n), "__p", "left", rows="__n")
     part = lambda many: marked.where(f"__n is {'not ' if many else ''}null").select(*filings.columns)
     return part(False), invalid, part(True)
 
