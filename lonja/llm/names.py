@@ -26,6 +26,8 @@ LEAST_RATIO, LEAD = 0.86, 0.035
 
 #: A phrase is a line of business or a region if it begins or ends at least this share of the companies' names, and so many.
 LEAST_PART, LEAST_NAMES = 0.01, 5
+#: A key with so many names is spread over several tasks, as each of them meets every company of the key.
+HOT_NAMES = 20_000
 #: Words of the longest such phrase, and the orders of how many words are all tried.
 LONGEST, ORDERED = 3, 5
 
@@ -241,32 +243,60 @@ def parsed(df: DataFrame, name: str, vocabulary: Vocabulary) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def _keys(df: DataFrame, i: str) -> DataFrame:
-    """One row (``i``, linea, region, ``clave``) per distinct ending and beginning of the core words.
+def _keys(df: DataFrame, i: str, *more: str) -> DataFrame:
+    """One row (``i``, linea, region, ``clave``, and ``more`` of the name) per distinct ending and beginning of the core words.
 
     A name of one word may be two that were glued, so every place inside it may be where the first ends and the second begins.
     """
     w, n = F.col("w"), F.length("w")
-    word = df.select(i, "linea", "region", (F.size("palabras") == 1).alias("sola"), F.explode("palabras").alias("w")).where(n >= 2)
+    word = df.select(i, "linea", "region", *more, (F.size("palabras") == 1).alias("sola"), F.explode("palabras").alias("w")).where(n >= 2)
     places = lambda size: F.when(F.col("sola") & (n >= size), F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda k: F.substring(w, k, F.lit(size))))
     ends = F.coalesce(places(SUFFIX), F.array(F.expr(f"right(w, {SUFFIX})")))
     starts = F.coalesce(places(START), F.when(n >= START, F.array(F.expr(f"left(w, {START})"))), F.array().cast("array<string>"))
     tagged = F.concat(F.transform(ends, lambda x: F.concat(F.lit("-"), x)), F.transform(starts, lambda x: F.concat(x, F.lit("-"))))
-    return word.select(i, "linea", "region", F.explode(tagged).alias("clave")).distinct()
+    return word.select(i, "linea", "region", *more, F.explode(tagged).alias("clave")).distinct()
+
+
+#: The letters of the core words: in ``s`` a bit for the first and a bit for the second time that each occurs, in ``x`` how many letters are left.
+_BITS = """aggregate(filter(split(array_join(palabras, ''), ''), c -> c between 'A' and 'Z'), named_struct('s', 0L, 'x', 0), (z, c) ->
+ case when (z.s & shiftleft(1L, ascii(c) - 65)) = 0 then named_struct('s', z.s | shiftleft(1L, ascii(c) - 65), 'x', z.x)
+ when (z.s & shiftleft(1L, ascii(c) - 33)) = 0 then named_struct('s', z.s | shiftleft(1L, ascii(c) - 33), 'x', z.x)
+ else named_struct('s', z.s, 'x', z.x + 1) end)"""
+
+
+def with_letters(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the letters of ``palabras`` as (s, x), and the beginnings of a name of one word and of one of two (``uno``, ``dos``)."""
+    start = lambda k: F.expr(f"left(palabras[{k}], 3)")
+    one, two = F.when(F.size("palabras") == 1, start(0)), F.when(F.size("palabras") == 2, F.array(start(0), start(1)))
+    return df.withColumn(name, F.expr(_BITS)).withColumn(name, F.struct(f"{name}.s", f"{name}.x", one.alias("uno"), two.alias("dos")))
+
+
+def letters_allow(a: str, b: str) -> Column:
+    """Whether core words with these letters can reach LEAST_RATIO: ``could_be`` without Python, the third and further times
+    that a letter occurs being taken as common. A nickname glued from two words begins like one of them."""
+    both = F.bit_count(F.col(f"{a}.s").bitwiseAND(F.col(f"{b}.s"))) + F.least(f"{a}.x", f"{b}.x")
+    size = lambda x: F.bit_count(f"{x}.s") + F.col(f"{x}.x")
+    nick = F.coalesce(F.array_contains(F.col(f"{b}.dos"), F.col(f"{a}.uno")), F.lit(False))
+    return (2 * both >= LEAST_RATIO * (size(a) + size(b)) - 1e-9) | nick
 
 
 def candidates(names: DataFrame, companies: DataFrame) -> DataFrame:
-    """Pairs (``nid``, ``cid``) of the same line of business and region that share an ending or a beginning of a core word.
+    """Pairs (``nid``, ``cid``) of the same line of business and region that share an ending or a beginning of a core word,
+    and whose letters allow the ratio.
 
     The endings are the shortest ones, of SUFFIX letters: words that share a longer one share these too. Every key is
     refined with line and region, and a field that the name lacks matches any, so only pairs that can't be a link are
     left out. No key is discarded, however many companies have it. Words with slips in their last letters share no
     ending, so beginnings of START letters count too; these also hold together nicknames glued from beginnings, one of
     whose two parts has START letters or more.
+
+    The letters travel with the keys, so a pair is held against the bound where it is made: pairs that can't reach the
+    ratio are neither shuffled nor joined to their names, and the names need not be broadcast for it.
     """
     either = lambda c: F.explode(F.array_distinct(F.array(F.col(c), F.lit("")))).alias(c)
-    right = _keys(companies, "cid").select("cid", "clave", either("linea"), "region").select("cid", "clave", "linea", either("region"))
-    return join_hot(_keys(names, "nid"), right, ["clave", "linea", "region"]).select("nid", "cid").distinct()
+    left = _keys(with_letters(names, "nl"), "nid", "nl")
+    right = _keys(with_letters(companies, "cl"), "cid", "cl").select("cid", "cl", "clave", either("linea"), "region").select("cid", "cl", "clave", "linea", either("region"))
+    return join_hot(left, right, ["clave", "linea", "region"], hot=HOT_NAMES).where(letters_allow("nl", "cl")).select("nid", "cid").distinct()
 
 
 def blocks(names: DataFrame, companies: DataFrame, vocabulary: Vocabulary) -> DataFrame:
